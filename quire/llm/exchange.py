@@ -35,8 +35,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pack(data: bytes | np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
+def pack(data: bytes | np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
 
 
 def unpack(data: bytes) -> bytes:
@@ -119,7 +119,7 @@ def measure(chunks: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
-def bucket_count(n_bytes: int, each: int = 24_000_000, least: int = 48) -> int:
+def bucket_count(n_bytes: int, each: int = 12_000_000, least: int = 48) -> int:
     """Buckets grow with the text, so that what one bucket holds does not."""
     return max(least, math.ceil(n_bytes / each))
 
@@ -163,19 +163,19 @@ def absorb(chunks: DataFrame, replies: DataFrame, use, schema) -> DataFrame:
 def absorb_kinds(chunks: DataFrame, replies: list[DataFrame], use, schema) -> DataFrame:
     """As absorb, for several rounds of answers; got: {(kind, bucket): blob}, the first round's kind being 2."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds, buckets, data = table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data")
-        got = {(kind, buckets[i]): data[i].as_py() for i, kind in enumerate(kinds) if kind >= 2}
+    def run(own: pa.Table, said: pa.Table) -> pa.Table:
+        got = {(k, b): d.as_py() for k, b, d in zip(said.column("kind").to_pylist(), said.column("bucket").to_pylist(), said.column("data"))}
         out = []
-        for i, kind in enumerate(kinds):
-            if kind == 0:
-                out += use(bytes_batch(data[i].as_py()), got, table.column("chunk_id")[i].as_py())
+        for chunk_id, data in zip(own.column("chunk_id").to_pylist(), own.column("data")):
+            out += use(bytes_batch(data.as_py()), got, chunk_id)
         return pa.Table.from_batches(out) if out else _empty(schema)
 
-    both = chunks
+    both = None
     for i, r in enumerate(replies):
-        both = both.unionByName(r.withColumn("kind", F.lit(2 + i)))
-    return both.groupBy("chunk_id").applyInArrow(run, schema)
+        r = r.withColumn("kind", F.lit(2 + i))
+        both = r if both is None else both.unionByName(r)
+    # a cogroup, so that the chunks are dealt out once for all rounds of a query (the exchange is reused)
+    return chunks.groupBy("chunk_id").cogroup(both.groupBy("chunk_id")).applyInArrow(run, schema)
 
 
 def _empty(schema) -> pa.Table:

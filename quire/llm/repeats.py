@@ -31,6 +31,7 @@ from . import exchange as X
 
 HOT_CHUNKS = 64
 SLICE = 1_000_000
+LEAD = 24
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 _P = 0x5851F42D4C957F2D
@@ -362,11 +363,10 @@ def id_values(column: pa.Array) -> np.ndarray:
 
 
 def lead(spec: Repeats, s: Suffixes) -> np.ndarray:
-    """The leading 32 bytes of each suffix, from its anchor on, as bytes that sort as its tokens do."""
-    n = 32 if s.rows.dtype == np.uint8 else 4
-    out = window_rows(s.rows, np.arange(len(s.off)), s.off, n)
+    """The leading bytes (24, or three words) of each suffix, from its anchor on, as bytes that sort as its tokens do; no more than all suffixes of an anchor share."""
+    out = window_rows(s.rows, np.arange(len(s.off)), s.off, min(LEAD, spec.seed) if s.rows.dtype == np.uint8 else LEAD // 8)
     out = np.ascontiguousarray(out if out.dtype == np.uint8 else out.astype(">u8"))
-    return out.view("S32").ravel()
+    return out.view(f"S{LEAD}").ravel()
 
 
 def place(spec: Repeats, s: Suffixes, bounds: np.ndarray, buckets: int) -> np.ndarray:
@@ -378,6 +378,13 @@ def place(spec: Repeats, s: Suffixes, bounds: np.ndarray, buckets: int) -> np.nd
     return out
 
 
+def by_bucket(spec: Repeats, s: Suffixes, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by bucket, roughly sorted within (neighbours then compress), and where each bucket begins."""
+    where = place(spec, s, bounds, buckets)
+    order = np.lexsort((columns(window_rows(s.rows, np.arange(len(s.off)), s.off, 16 if s.rows.dtype == np.uint8 else 2))[:, 0], where))
+    return order, np.searchsorted(where[order], np.arange(buckets + 1))
+
+
 def _encode(s: Suffixes, at: np.ndarray) -> bytes:
     rows = s.rows[at]
     if rows.dtype == np.uint8:
@@ -386,7 +393,7 @@ def _encode(s: Suffixes, at: np.ndarray) -> bytes:
         book, code = np.unique(rows, return_inverse=True)
         body, book = X.pack_planes(code.ravel().astype("<u4")), book.tobytes()
     head = np.array([len(at), len(book), len(body)], "<i8").tobytes()
-    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + s.value[at].astype("<i8").tobytes() + book + body)
+    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + s.value[at].astype("<i8").tobytes() + book + body, 3)
 
 
 def _decode(spec: Repeats, blob: bytes) -> Suffixes:
@@ -440,9 +447,7 @@ def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text
         s = suffixes(spec, batch, got, bits, text, ids)
         if s is None:
             return
-        where = place(spec, s, bounds, buckets)
-        order = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[order], np.arange(buckets + 1))
+        order, cut = by_bucket(spec, s, bounds, buckets)
         which = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         for i in range(0, len(which), 16):
             yield X.row_batch(chunk_id, 1, which[i : i + 16], [_encode(s, order[cut[b] : cut[b + 1]]) for b in which[i : i + 16]])
@@ -458,8 +463,7 @@ def covered(spec: Repeats, batch, anchors: dict[int, bytes], windows: dict[int,
     change = np.zeros(n + 1, np.int32)
     s = suffixes(spec, batch, anchors, bits, text, ids)
     if s is not None:
-        where = place(spec, s, bounds, buckets)
-        order = np.argsort(where, kind="stable")
+        order, _ = by_bucket(spec, s, bounds, buckets)
         got = np.concatenate([X.unpack_planes(windows[b], "<i8" if spec.least else "u1") for b in sorted(windows)])
         begin = np.empty(len(order), np.int64)
         begin[order] = np.cumsum(s.length[order]) - s.length[order]
@@ -496,7 +500,7 @@ def bucket_windows(spec: Repeats, rows, length, off, hot, value, sort, seed_colu
 
 
 def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: int = 96, each: int = 256) -> np.ndarray:
-    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of 32 bytes, however large the input. They only place bucket bounds."""
+    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of them, however large the input. They only place bucket bounds."""
     from pyspark.sql import functions as F
 
     def run(batches):
@@ -509,11 +513,11 @@ def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: i
                     if len(first):
                         take = np.linspace(0, len(first) - 1, min(each, len(first))).astype(np.int64)
                         s = Suffixes(spec.contexts(t, first[take], length[take]), length[take], off[take], None, first, None, None)
-                        yield pa.RecordBatch.from_pydict({"lead": pa.array([x.ljust(32, b"\0") for x in lead(spec, s).tolist()], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"lead": pa.array([x.ljust(LEAD, b"\0") for x in lead(spec, s).tolist()], pa.binary())})
 
     step = max(1, n_chunks // chunks_read)
     some = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0)
-    return np.sort(np.array([bytes(r[0]) for r in some.mapInArrow(run, "lead binary").collect()], "S32"))
+    return np.sort(np.array([bytes(r[0]) for r in some.mapInArrow(run, "lead binary").collect()], f"S{LEAD}"))
 
 
 def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tree, rewrite, schema):

@@ -2,7 +2,7 @@
 
 Sparse suffixes (repeats.py) are range-partitioned by their leading bytes at
 sampled splitters; every bucket sorts its suffixes by multikey quicksort and
-compares neighbours.  A splitter cuts on the 32 bytes that all suffixes of an
+compares neighbours.  A splitter cuts on the 24 bytes that all suffixes of an
 anchor share, so that equal windows, whichever side of a splitter they lie on
 as text, meet in one bucket and no comparison is lost at a boundary.
 
@@ -24,13 +24,13 @@ from . import exchange as X
 from . import repeats as R
 
 WIDTH = 50
-SEED = 32
+SEED = 24
 
 
 def splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
     """Quantiles of the sample."""
     if not len(sample):
-        return np.zeros(0, "S32")
+        return np.zeros(0, f"S{R.LEAD}")
     return np.unique(sample[(np.arange(1, buckets) * len(sample)) // buckets])
 
 

@@ -34,10 +34,10 @@ def prefixes(sample: np.ndarray, groups: int) -> np.ndarray:
     cut: list[bytes] = []
 
     def split(part: np.ndarray, depth: int, prefix: bytes) -> None:
-        if len(part) <= least or depth >= 32:
+        if len(part) <= least or depth >= R.LEAD:
             cut.append(prefix)
             return
-        keys = np.array([x.ljust(32, b"\0")[depth] for x in part.tolist()])
+        keys = np.array([x.ljust(R.LEAD, b"\0")[depth] for x in part.tolist()])
         held = 0
         begin = None
         for value in np.unique(keys):
@@ -54,7 +54,7 @@ def prefixes(sample: np.ndarray, groups: int) -> np.ndarray:
 
     if len(sample):
         split(sample, 0, b"")
-    return np.unique(np.array([c for c in cut if c], "S32"))
+    return np.unique(np.array([c for c in cut if c], f"S{R.LEAD}"))
 
 
 def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
