@@ -162,7 +162,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float | None:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row: id, class_id (the smallest id that links lead to, itself included), n_links (documents linked directly: equal ones, and those aligned with), kept (is it that one)."""
+    """One row per row: id, class_id (the smallest id that links lead to, itself included), n_links (other rows linked directly: equal texts, and those that were aligned with), kept (is it that one)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches):
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     made = X.checkpoint(rows.mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
-    classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
+    classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
     band = classes.select("node", "size", F.posexplode("bands").alias("band", "sketch"))
     tied = band.groupBy("band", "sketch").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     groups = X.checkpoint(band.join(tied, ["band", "sketch"]).select("band", "sketch", "node", "size", "hub"))
@@ -217,19 +217,17 @@ def _rounds(rows: DataFrame, classes: DataFrame, groups: DataFrame, similarity:
     old = groups.select("band", "sketch", F.col("hub").alias("node")).distinct()  # every one of a group but former hubs is compared with the new hubs
     everyone = groups.select("band", "sketch", "node").join(old, ["band", "sketch", "node"], "left_anti")
     while True:
-        number = rest.groupBy("band", "sketch").agg(F.count("*").alias("n")).where("n > 0").agg(F.count("*"), F.max("n")).first()
-        if not number[0]:
+        if rest.isEmpty():
             break
         hubs *= 4
-        chosen = rest.groupBy("band", "sketch").agg(F.slice(F.array_sort(_least(hubs)), 1, hubs).alias("hubs"))
-        chosen = X.checkpoint(chosen)
-        pairs = everyone.join(chosen, ["band", "sketch"]).select("band", "sketch", "node", F.explode("hubs").alias("hub")).where("node <> hub")
-        pairs = X.checkpoint(pairs)
+        # up to so many of each group, whatever its size: the least of each of so many shares
+        chosen = X.checkpoint(rest.groupBy("band", "sketch", F.pmod(F.xxhash64("node"), F.lit(hubs))).agg(F.min("node").alias("hub")).select("band", "sketch", "hub"))
+        pairs = X.checkpoint(everyone.join(chosen, ["band", "sketch"]).select("band", "sketch", "node", "hub").where("node <> hub"))
         new = pairs.select(F.greatest("hub", "node").alias("b"), F.least("hub", "node").alias("a")).distinct()
         done = X.checkpoint(_verify(texts, new, similarity))
         found.append(done.where("ok").select("a", "b"))
         like = pairs.join(done.where("ok"), (F.greatest("hub", "node") == F.col("b")) & (F.least("hub", "node") == F.col("a"))).select("band", "sketch", "node").distinct()
-        were = chosen.select("band", "sketch", F.explode("hubs").alias("node"))
+        were = chosen.select("band", "sketch", F.col("hub").alias("node"))
         rest = X.checkpoint(rest.join(were, ["band", "sketch", "node"], "left_anti").join(like, ["band", "sketch", "node"], "left_anti"))
         everyone = X.checkpoint(everyone.join(rest.select("band", "sketch").distinct(), ["band", "sketch"], "left_semi").join(were, ["band", "sketch", "node"], "left_anti"))
     out = found[0]
@@ -238,11 +236,6 @@ def _rounds(rows: DataFrame, classes: DataFrame, groups: DataFrame, similarity:
     return X.checkpoint(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _least(n: int):
-    """The least nodes of a group by number of rows; a group is taken in order of its nodes' hashes."""
-    return F.collect_set("node")
-
-
 def _words(wanted: DataFrame) -> DataFrame:
     """node, size, words: 32-bit word hashes of the rows whose text is the class's (an id may repeat with another text)."""
 

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe_tree import op6_bpe_round_trip
+from .embedding_dedup import op8_embedding_dedup
+from .interpolation import op10_lm_scoring
+from .language_id import op5_language_id
+from .licenses import op7_license_scan
+from .order_minhash import op1_order_minhash
+from .string_tiling import op4_string_tiling
 from .suffix_array import op9_suffix_array_dedup
 from .suffix_tree import op3_substring_dedup
+from .url_filter import op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_suffix_array_dedup)}
+_FUNCTIONS = (op1_order_minhash, op2_url_filter, op3_substring_dedup, op4_string_tiling, op5_language_id, op6_bpe_round_trip, op7_license_scan, op8_embedding_dedup, op9_suffix_array_dedup, op10_lm_scoring)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
 ORACLE_SQL: dict[str, str] = {}

@@ -40,22 +40,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule that fits, or null; rules are few and become one expression."""
-    out = F.lit(None).cast("string")
-    for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):
-        own, _, below = rule.partition("/")
-        out = F.when(((host == own) | host.endswith("." + own)) & path.startswith("/" + below), F.lit(rule)).otherwise(out)
-    return out
+    """struct<rule, verdict> of the longest rule that fits, or null: rules are few, and one array of them is searched."""
+    known = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path")) for r, v in sorted(rules, key=lambda r: (-len(r[0]), r[0]))])
+    fits = F.filter(known, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"]))
+    return F.get(fits, F.lit(0))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """All columns, and host, path, rule, verdict, ratio (log-likelihood difference per character, above 0 for accepted; null where a rule decides), each prefixed ``url_``."""
     host, path = host_and_path(F.col(url_col))
-    said = dict(rules)
     judged = pages.withColumn("url_host", host).withColumn("url_path", path)
-    judged = judged.withColumn("url_rule", rule_for(F.col("url_host"), F.col("url_path"), rules))
-    by_rule = F.coalesce(*[F.when(F.col("url_rule") == r, F.lit(v)) for r, v in said.items()], F.lit(None).cast("string")) if said else F.lit(None).cast("string")
-    judged = judged.withColumn("url_said", by_rule)
+    fits = rule_for(F.col("url_host"), F.col("url_path"), rules) if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
+    judged = judged.withColumn("url_fits", fits).withColumn("url_rule", F.col("url_fits.rule")).withColumn("url_said", F.col("url_fits.verdict")).drop("url_fits")
     text = F.concat("url_host", "url_path")
     taught = judged.where("url_said is not null").select("url_said", text.alias("u")).where(F.length("u").between(1, longest)).distinct()
     learn: dict[str, list[str]] = {}
