@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import star_queries
+
+QUERIES: dict = star_queries.QUERIES
+ORACLE_SQL: dict[str, str] = star_queries.ORACLE_SQL
