@@ -30,7 +30,7 @@ from . import exchange as X
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Public license wordings (SPDX identifiers in lower case) as templates.
 TEMPLATES = (
-    ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by [[<<version:1-2>>]] [[license]]"),
+    ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0 [[license]]"),
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] cc by nc [[4 0]]"),
     ("cc-by-sa-4.0", "licensed under [[a]] [[the]] cc by sa [[4 0]]"),
     ("cc-by-4.0", "licensed under [[a]] [[the]] creative commons attribution [[4 0]] [[international]] license"),

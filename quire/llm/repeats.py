@@ -111,6 +111,7 @@ class Repeats:
     width: int
     seed: int
     least: bool
+    hot: int = HOT_CHUNKS  #: an anchor in more chunks is taken apart
 
     @property
     def w(self) -> int:
@@ -291,7 +292,7 @@ def ask_anchors(spec: Repeats, buckets: int, bits: int, text: str):
     return ask
 
 
-def answer_anchors(blobs: list[bytes]) -> list[bytes]:
+def answer_anchors(spec: Repeats, blobs: list[bytes]) -> list[bytes]:
     """0: in one chunk, 1: in several, 2: in very many."""
     parts = [np.cumsum(X.unpack_planes(b, "<u8")) for b in blobs]
     every = np.concatenate(parts)
@@ -300,7 +301,7 @@ def answer_anchors(blobs: list[bytes]) -> list[bytes]:
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     count = np.diff(np.append(starts, len(key)))
     code = np.empty(len(key), np.uint8)
-    code[order] = np.repeat(np.where(count > HOT_CHUNKS, 2, np.where(count > 1, 1, 0)).astype(np.uint8), count)
+    code[order] = np.repeat(np.where(count > spec.hot, 2, np.where(count > 1, 1, 0)).astype(np.uint8), count)
     cut = np.cumsum([0, *map(len, parts)])
     return [X.pack(code[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
@@ -525,7 +526,7 @@ def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tr
     chunks = X.make_chunks(docs, text)
     n_chunks, n_bytes = X.measure(chunks)
     buckets, bits = X.bucket_count(n_bytes), hash_bits(n_bytes)
-    anchors = X.checkpoint(X.answer(X.scatter(chunks, ask_anchors(spec, buckets, bits, text)), answer_anchors))
+    anchors = X.checkpoint(X.answer(X.scatter(chunks, ask_anchors(spec, buckets, bits, text)), lambda blobs: answer_anchors(spec, blobs)))
     bounds = boundaries(sample_leads(chunks, n_chunks, spec, text), buckets)
     asked = X.absorb(chunks, anchors, ask_windows(spec, bounds, len(bounds) + 1, bits, text, ids), X.CHUNK_SCHEMA)
     windows = X.answer(asked, answer_windows(spec, tree))

@@ -38,14 +38,14 @@ def sort_bucket(spec: R.Repeats, rows, length, off, hot, value) -> np.ndarray:
     return R.bucket_windows(spec, rows, length, off, hot, value, R.multikey, spec.seed // 8)
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot_chunks: int = R.HOT_CHUNKS) -> DataFrame:
     """Remove each byte covered by a ``width``-byte string that also starts in a document with a smaller id.
 
     Returns id, kept (binary: the remaining bytes), n_bytes, n_removed and spans (array of struct<start, end>, maximal removed runs)
     for every row.  ``width`` is 40 at least."""
     if width < 40:
         raise ValueError("width must be 40 at least")
-    spec = R.Repeats("bytes", width, SEED, True)
+    spec = R.Repeats("bytes", width, SEED, True, hot_chunks)
     schema = "id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 
     def rewrite(batch, cover, at):

@@ -81,7 +81,7 @@ def subtree(spec: R.Repeats, rows, length, off, hot, value) -> np.ndarray:
     return out > 1
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH, hot_chunks: int = R.HOT_CHUNKS) -> DataFrame:
     """Remove each word covered by ``width`` consecutive words that also occur anywhere else.
 
     All columns stay; the text becomes the kept words joined by one space where words were removed and is unchanged
@@ -89,7 +89,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
     by one space).  ``width`` is 16 at least."""
     if width < 16:
         raise ValueError("width must be 16 at least")
-    spec = R.Repeats("words", width, SEED, False)
+    spec = R.Repeats("words", width, SEED, False, hot_chunks)
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     at_text = [f.name for f in fields].index(text_col)
