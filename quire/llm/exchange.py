@@ -13,6 +13,7 @@ that a lost executor cannot change which rows a chunk holds.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -35,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that nothing refers to any more: the driver's JVM only finds out when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pack(data: bytes | np.ndarray, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
 
@@ -60,7 +67,7 @@ def batch_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return pack(sink.getvalue().to_pybytes())
+    return pack(sink.getvalue().to_pybytes(), 3)
 
 
 def bytes_batch(data: bytes) -> pa.RecordBatch:
@@ -163,12 +170,15 @@ def absorb(chunks: DataFrame, replies: DataFrame, use, schema) -> DataFrame:
 def absorb_kinds(chunks: DataFrame, replies: list[DataFrame], use, schema) -> DataFrame:
     """As absorb, for several rounds of answers; got: {(kind, bucket): blob}, the first round's kind being 2."""
 
+    nothing = _empty(schema)
+    release(chunks.sparkSession)
+
     def run(own: pa.Table, said: pa.Table) -> pa.Table:
         got = {(k, b): d.as_py() for k, b, d in zip(said.column("kind").to_pylist(), said.column("bucket").to_pylist(), said.column("data"))}
         out = []
         for chunk_id, data in zip(own.column("chunk_id").to_pylist(), own.column("data")):
             out += use(bytes_batch(data.as_py()), got, chunk_id)
-        return pa.Table.from_batches(out) if out else _empty(schema)
+        return pa.Table.from_batches(out) if out else nothing
 
     both = None
     for i, r in enumerate(replies):

@@ -74,10 +74,10 @@ def _count(keys: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kinds(batch, text: str, trained: str, bits: int):
-    """Keys and own counts of words, contexts (the words that pairs begin with) and pairs."""
+    """Keys and own counts of words and of pairs. A word begins as many pairs as there are of it, as each is followed by another or the end; rows begin as often as they end."""
     t, before, pairs, first = _tokens(batch, text)
     use = _trained(batch, trained, first)
-    return (_count(t, use), _count(before, use), _count(pairs >> U(64 - bits), use)), (t, before, pairs, first, use)
+    return (_count(t, use), _count(pairs >> U(64 - bits), use)), (t, before, pairs, first, use)
 
 
 def _parts(keys: np.ndarray, buckets: int, bits: int) -> list[int]:
@@ -87,7 +87,7 @@ def _parts(keys: np.ndarray, buckets: int, bits: int) -> list[int]:
 def _ask(text: str, trained: str, buckets: int, bits: int):
     def ask(batch):
         kinds, _ = _kinds(batch, text, trained, bits)
-        cuts = [_parts(k, buckets, w) for (k, _), w in zip(kinds, (64, 64, bits))]
+        cuts = [_parts(k, buckets, w) for (k, _), w in zip(kinds, (64, bits))]
         for b in range(buckets):
             blob = []
             for (keys, counts), cut in zip(kinds, cuts):
@@ -107,10 +107,10 @@ def _split(blob: bytes, n: int) -> list[bytes]:
 
 def _reply(blobs: list[bytes]) -> list[bytes]:
     """For each asking chunk, the corpus counts of its keys; the first one's also says how many tokens and distinct words the bucket holds."""
-    asked = [_split(b, 6) for b in blobs]
+    asked = [_split(b, 4) for b in blobs]
     out: list[list[bytes]] = [[] for _ in blobs]
     tokens = distinct = 0
-    for kind in range(3):
+    for kind in range(2):
         keys = [np.cumsum(X.unpack_planes(a[2 * kind], "<u8")) for a in asked]
         every = np.concatenate(keys)
         counts = np.concatenate([X.unpack_planes(a[2 * kind + 1], "<u4") for a in asked]).astype(np.int64)
@@ -145,12 +145,11 @@ def _answer(asked: DataFrame) -> DataFrame:
 def _corpus_counts(batch, got, text: str, trained: str, bits: int):
     """Per token: its count c, its context's, its pair's, and whether it is a training token."""
     kinds, (t, before, pairs, first, use) = _kinds(batch, text, trained, bits)
-    replies = [_split(got[b], 3) for b in sorted(got)]
-    out = []
-    for k, (values, (keys, _)) in enumerate(zip((t, before, pairs >> U(64 - bits)), kinds)):
-        total = np.concatenate([X.unpack_planes(r[k], "<i8") for r in replies]) if replies else np.zeros(0, np.int64)
-        out.append(total[np.searchsorted(keys, values)])
-    return (*out, first, use)
+    replies = [_split(got[b], 2) for b in sorted(got)]
+    (words, _), (pair_keys, _) = kinds
+    word, pair = (np.concatenate([X.unpack_planes(r[k], "<i8") for r in replies]) for k in range(2))
+    before = np.where(before == BEGIN, END, before)
+    return word[np.searchsorted(words, t)], word[np.searchsorted(words, before)], pair[np.searchsorted(pair_keys, pairs >> U(64 - bits))], first, use
 
 
 def _context_bucket(n: np.ndarray) -> np.ndarray:
@@ -192,7 +191,7 @@ def score_texts(df: DataFrame, train: Column, text_col: str = "text", out: str =
     inner = df.withColumn("__train", F.coalesce(train, F.lit(False))).toDF(*names, "learn").withColumn(text, F.col(text).cast("string"))
     chunks = X.make_chunks(inner, text)
     _, n_bytes = X.measure(chunks)
-    buckets, bits = X.bucket_count(n_bytes), min(64, math.ceil(math.log2(max(n_bytes, 2))) + 20)
+    buckets, bits = X.bucket_count(n_bytes), min(64, math.ceil(math.log2(max(n_bytes, 2))) + 16)
     counts = X.checkpoint(_answer(X.scatter(chunks, _ask(text, "learn", buckets, bits))))
     tokens = distinct = 0
     for row in counts.where("chunk_id = -1").select("data").collect():  # a row per bucket
