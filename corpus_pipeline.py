@@ -20,9 +20,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, and of rows that repeat it one."""
     docs = docs.select(*COLUMNS)
-    gone = order_minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    found = order_minhash.near_duplicates(docs).where("id is not null")
+    found = exchange.checkpoint(found.groupBy(F.col("id").alias("doc_id")).agg(F.max("kept").alias("keep"), F.count("*").alias("n")).where("keep").select("doc_id", "n"))
+    kept = docs.join(found.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    again = found.where("n > 1")
+    return kept if again.isEmpty() else kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

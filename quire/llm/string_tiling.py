@@ -31,7 +31,7 @@ from . import repeats as R
 
 U = np.uint64
 LEAST = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 BLOCK_BYTES = 8_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
