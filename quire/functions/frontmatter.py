@@ -105,8 +105,10 @@ def canonical_json(value) -> str:
     if value is None:
         return "null"
     if isinstance(value, str):
-        if any("\ud800" <= c <= "\udfff" for c in value):
-            raise ValueError("JCS strings must not contain lone UTF-16 surrogate code points")
+        try:
+            value.encode()
+        except UnicodeEncodeError as e:
+            raise ValueError("JCS strings must not contain lone UTF-16 surrogate code points") from e
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, list):
         return f"[{','.join(map(canonical_json, value))}]"

@@ -1,16 +1,23 @@
-"""The concept graph: counts, components, cycles, by iterated joins.
+"""The concept graph: counts, components, cycles.
 
-Loops cut their lineage through the shared checkpoint folder, so a lost worker
-costs a recomputation and never a result.
+A graph whose edges are counted and found to be few (SMALL) is walked within one
+task, by Tarjan's algorithm.  Beyond that, iterated joins: loops cut their lineage
+through the shared checkpoint folder, so a lost worker costs a recomputation and
+never a result.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges (distinct) up to which one task walks the graph: some tens of MB.
+SMALL = 200_000
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Through spark.checkpoint.dir; a folder of our own only where none is set."""
@@ -24,7 +31,91 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return checkpoint(edges.select("source", "target").distinct())
 
 
+def _roots(edges: list[tuple]) -> Iterator[tuple]:
+    """(node, least node of its weak component, least node of its strong component)"""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: dict = {}
+    for a, b in edges:
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        out.setdefault(a, []).append(b)
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    number: dict = {}
+    low: dict = {}
+    strong: dict = {}
+    path: list = []
+    for start in parent:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        path.append(start)
+        todo = [(start, iter(out.get(start, ())))]
+        while todo:
+            x, rest = todo[-1]
+            for y in rest:
+                if y not in number:
+                    number[y] = low[y] = len(number)
+                    path.append(y)
+                    todo.append((y, iter(out.get(y, ()))))
+                    break
+                if y not in strong:
+                    low[x] = min(low[x], number[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == number[x]:
+                    part = [path.pop()]
+                    while part[-1] != x:
+                        part.append(path.pop())
+                    least = min(part)
+                    strong.update(dict.fromkeys(part, least))
+    for x in parent:
+        yield x, root(x), strong[x]
+
+
+def _walk(edges: DataFrame) -> DataFrame | None:
+    """node, weak, strong of a small graph's nodes that have an edge; None for a larger graph."""
+    few = edges.select("source", "target").distinct().limit(SMALL + 1)
+    few = checkpoint(few)
+    if few.count() > SMALL:
+        return None
+    kind = few.schema["source"].dataType.simpleString()
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}.get(kind)
+    if arrow is None:
+        return None
+    schema = pa.schema([(c, arrow) for c in ("node", "weak", "strong")])
+
+    def run(batches):
+        held = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        rows = list(_roots(held))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow) for c in zip(*rows)], schema=schema)
+
+    same = few.select("source", F.col("target").cast(kind).alias("target"))
+    return checkpoint(same.repartition(1).mapInArrow(run, f"node {kind}, weak {kind}, strong {kind}"))
+
+
+def _labelled(nodes: DataFrame, walked: DataFrame, label: str) -> DataFrame:
+    ids = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    return ids.join(walked.select("node", F.col(label).alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    walked = _walk(edges)
+    return _weak(nodes, edges) if walked is None else _labelled(nodes, walked, "weak")
+
+
+def _weak(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least node reachable when directions are ignored. Large-star and small-star steps: hubs cost a row per neighbour, steps grow with the logarithm of a chain."""
     e = edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
     e = checkpoint(e)
@@ -60,10 +151,19 @@ def peel(edges: DataFrame) -> DataFrame:
 
 
 def is_dag(edges: DataFrame) -> bool:
-    return edges.where("source = target").isEmpty() and peel(edges).isEmpty()
+    if not edges.where("source = target").isEmpty():
+        return False
+    walked = _walk(edges)
+    return peel(edges).isEmpty() if walked is None else walked.groupBy("strong").count().where("count > 1").isEmpty()
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component: the least node of each strongly connected component."""
+    walked = _walk(edges)
+    return _strong(nodes, edges) if walked is None else _labelled(nodes, walked, "strong")
+
+
+def _strong(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least node of each strongly connected component.
 
     Nodes outside every cycle are their own.  For the others, forward colours (the least node that reaches one) are
@@ -111,12 +211,19 @@ def _reach(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, weak_components, strong_components, is_dag."""
-    ids = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    ids = checkpoint(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct())
     edges = checkpoint(edges.select("source", "target"))
-    weak = weak_components(ids, edges).agg(F.countDistinct("component").alias("weak_components"))
-    strong = strong_components(ids, edges).agg(F.countDistinct("component").alias("strong_components"))
-    counts = ids.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))
-    return counts.join(weak).join(strong).withColumn("is_dag", F.lit(is_dag(edges)))
+    loops = not edges.where("source = target").isEmpty()
+    walked = _walk(edges)
+    if walked is None:
+        weak, strong = _weak(ids, edges), _strong(ids, edges)
+        dag = not loops and peel(edges).isEmpty()
+    else:
+        weak, strong = _labelled(ids, walked, "weak"), _labelled(ids, walked, "strong")
+        dag = not loops and walked.groupBy("strong").count().where("count > 1").isEmpty()
+    number = lambda df: df.agg(F.countDistinct("component")).first()[0]
+    row = (ids.count(), edges.count(), number(weak), number(strong), dag)
+    return ids.sparkSession.createDataFrame([row], "nodes long, edges long, weak_components long, strong_components long, is_dag boolean")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

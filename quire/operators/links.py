@@ -67,3 +67,9 @@ def reverse(links: DataFrame) -> DataFrame:
     """concept_id, linked_from: which concepts link to each."""
     item = F.struct("source_id", "raw_target", "origin")
     return links.where("target_id is not null").groupBy(F.col("target_id").alias("concept_id")).agg(F.array_sort(F.collect_list(item)).alias("linked_from"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """concept_id, n_links, n_linked_from: counted, so that a target of very many links is a number and no list."""
+    both = links.select(F.col("source_id").alias("concept_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(links.where("target_id is not null").select("target_id", F.lit(0), F.lit(1)))
+    return both.groupBy("concept_id").agg(F.sum("o").cast("long").alias("n_links"), F.sum("i").cast("long").alias("n_linked_from"))

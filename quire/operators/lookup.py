@@ -34,12 +34,17 @@ def page(rows: DataFrame, first: int = 50, offset: int = 0, order: str | Sequenc
 
 
 def records(concepts: DataFrame, links: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Concepts with links (as written), linked_from and diagnostics, each a list in a defined order; empty lists where there are none."""
-    said = diagnostics.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("severity", "code", "message"))).alias("diagnostics"))
-    out = concepts.join(L.forward(links), "concept_id", "left").join(L.reverse(links), "concept_id", "left").join(said, "path", "left")
+    """A page of concepts with links (as written), linked_from and diagnostics, each a list in a defined order; empty lists where there are none.
+
+    Lists are made for the given concepts only; for all of a bundle's, count with links.link_counts instead."""
+    own = concepts.select("concept_id").distinct()
+    out = L.forward(links.join(own, F.col("source_id") == F.col("concept_id"), "left_semi"))
+    back = L.reverse(links.join(own, F.col("target_id") == F.col("concept_id"), "left_semi"))
+    said = diagnostics.join(concepts.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("severity", "code", "message"))).alias("diagnostics"))
+    made = concepts.join(out, "concept_id", "left").join(back, "concept_id", "left").join(said, "path", "left")
     for c in ("links", "linked_from", "diagnostics"):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
-    return out
+        made = made.withColumn(c, F.coalesce(c, F.array().cast(made.schema[c].dataType)))
+    return made
 
 
 def typed_or_raw(has_row: Column, typed: Column, raw: Column) -> Column:

@@ -158,7 +158,7 @@ def link_escape(spark, sf):
 
 @query("SELECT 'region/' || n_regionkey AS concept_id, count(*) AS n FROM nation GROUP BY n_regionkey UNION ALL SELECT 'nation/' || k, count(*) FROM (SELECT s_nationkey k FROM supplier UNION ALL SELECT c_nationkey FROM customer) GROUP BY k UNION ALL SELECT 'customer/' || o_custkey, count(*) FROM orders GROUP BY o_custkey")
 def reverse_links(spark, sf):
-    return links.reverse(_links(spark, sf)).select("concept_id", F.size("linked_from").cast("long").alias("n"))
+    return links.link_counts(_links(spark, sf)).where("n_linked_from > 0").select("concept_id", F.col("n_linked_from").alias("n"))
 
 
 _NODES = "(SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders)"
@@ -379,8 +379,19 @@ def concept_lookup(spark, sf):
 def concept_record(spark, sf):
     parsed = star_parsed(spark, sf)
     linked = links.link_rows(parsed, parsed.select("path"))
-    found = lookup.records(bundle.concepts_of(parsed).where("concept_type = 'Nation'"), linked, rules.broken_links(linked))
-    return found.select("concept_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("links", "linked_from", "diagnostics")])
+    page = bundle.concepts_of(parsed).where("concept_type = 'Nation'")
+    counts = links.link_counts(linked)
+    said = rules.broken_links(linked).groupBy("path").agg(F.count("*").alias("n_diagnostics"))
+    found = page.join(counts, "concept_id", "left").join(said, "path", "left")
+    return found.select("concept_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_linked_from", "n_diagnostics")])
+
+
+@query("SELECT 'customer/' || c_custkey AS concept_id, 'nation/' || c_nationkey AS target, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_linked_from, (SELECT min('orders/' || o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS first_linked_from FROM customer ORDER BY 1 LIMIT 50")
+def concept_record_page(spark, sf):
+    page = lookup.page(_concepts(spark, sf), 50, 0, concept_type="Customer")
+    linked = _links(spark, sf)
+    found = lookup.records(page, linked, rules.broken_links(linked.withColumn("path", F.concat("source_id", F.lit(".md")))))
+    return found.select("concept_id", F.col("links")[0]["target_id"].alias("target"), F.size("linked_from").cast("long").alias("n_linked_from"), F.get("linked_from", F.lit(0))["source_id"].alias("first_linked_from"))
 
 
 @query("SELECT 'region/' || n_regionkey AS source, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS position, 'nation/' || n_nationkey AS concept_id, n_name AS title FROM nation")
