@@ -2,15 +2,22 @@
 
 A text's k-mers are its runs of five words, each labelled with how often it has
 occurred before, so that no two are equal.  A sketch is made of the few k-mers
-with the least hashes, *in the order of the text*; two texts have equal sketches
-with a probability that grows with their edit similarity.  Texts with an equal
-sketch in one of several bands are candidates; a banded alignment of their words
-verifies them: similarity is 1 - edits / words of the longer text.
+with the least hashes, one of them among first occurrences (else texts that repeat
+one phrase would all meet), *in the order of the text*; two texts have equal
+sketches with a probability that grows with their edit similarity.  Texts with an
+equal sketch in one of several bands are candidates; a banded alignment of their
+words verifies them: similarity is 1 - edits / words of the longer text.  Texts
+that align only by frequent words are not copies: half of the longer text's
+distinct k-mers have to be in the other.
 
 Equal texts are one class before anything is compared.  The members of a band's
 group are compared with a hub of it, in salted parts, so a group of any size is
-linear in its members; what is not like the hub is compared with four times as
-many hubs in the next round, until each member is like a hub or is one.
+linear in its members.  Those that are not like the hub (a passage that very many
+texts share brings unlike texts together) are grouped anew, by their sketches in
+three further bands besides, and compared with the hubs of these groups, and so on;
+what several such steps leave together is compared with ever more hubs until each
+member is like one or is one.  So no step makes pairs within a group, and a link
+between members that are like different hubs is found in another band.
 
 Nulls and ties: words are lower-cased (A-Z) runs of characters other than space
 and tab to carriage return.  Rows without words, or without an id, are never
@@ -39,6 +46,7 @@ SAMPLED = 3
 BANDS = 16
 SIMILARITY = 0.8
 PART = 256
+LEVELS = 4
 _A = R.mix(np.arange(1, 2 * BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,7 +92,10 @@ def sketches(t: np.ndarray, first: np.ndarray, words: int = WORDS, sampled: int
             v ^= v >> U(32)
             where = np.full((len(some), sampled), -1, np.int64)
             for s in range(sampled):
-                least = np.minimum.reduceat(v, at[:-1])
+                if s == 0:  # the first one among first occurrences
+                    least = np.minimum.reduceat(np.where(label == 0, v, top), at[:-1])
+                else:
+                    least = np.minimum.reduceat(v, at[:-1])
                 hit = np.flatnonzero(v == np.repeat(least, kmers))
                 own, one = np.unique(row[hit], return_index=True)
                 pick = hit[one]
@@ -99,6 +110,77 @@ def sketches(t: np.ndarray, first: np.ndarray, words: int = WORDS, sampled: int
     return out
 
 
+def shingles(t: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes of all runs of five words of one text; a shorter one is a run itself."""
+    n = max(1, len(t) - words + 1)
+    h = np.zeros(n, U)
+    with np.errstate(over="ignore"):
+        for w in range(min(words, len(t))):
+            h = (h ^ t[w : w + n]) * U(0xC2B2AE3D27D4EB4F) + U(w)
+            h ^= h >> U(29)
+    return h
+
+
+def chained(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray) -> int:
+    """Edits of one alignment, so no fewer than needed: it goes through k-mers that each text has once, as many as stand in one order."""
+    ua, ia, na = np.unique(ha, return_index=True, return_counts=True)
+    ub, ib, nb = np.unique(hb, return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(ua[na == 1], ub[nb == 1], assume_unique=True, return_indices=True)
+    pa, pb = ia[na == 1][x], ib[nb == 1][y]
+    if not len(pa):
+        return max(len(a), len(b))
+    order = np.argsort(pa)
+    pa, pb = pa[order], pb[order]
+    if (np.diff(pb) <= 0).any():
+        tails: list[int] = []
+        at: list[int] = []
+        back = np.full(len(pb), -1)
+        for i, p in enumerate(pb.tolist()):
+            k = bisect_left(tails, p)
+            if k == len(tails):
+                tails.append(p)
+                at.append(i)
+            else:
+                tails[k], at[k] = p, i
+            back[i] = at[k - 1] if k else -1
+        chain = []
+        i = at[-1]
+        while i >= 0:
+            chain.append(i)
+            i = back[i]
+        pa, pb = pa[chain[::-1]], pb[chain[::-1]]
+    size = min(WORDS, len(a), len(b))
+    new = np.flatnonzero(np.append(True, (np.diff(pa) != np.diff(pb)) | (np.diff(pa) > size)))
+    end = np.append(new[1:], len(pa)) - 1
+    sa, sb, ea, eb = pa[new], pb[new], pa[end] + size, pb[end] + size
+    edits = _gap(a[: sa[0]][::-1], b[: sb[0]][::-1]) + _gap(a[ea[-1] :], b[eb[-1] :])
+    for i in range(len(new) - 1):
+        if (m := min(sa[i + 1] - ea[i], sb[i + 1] - eb[i])) < 0:
+            edits += abs(int((sa[i + 1] - ea[i]) - (sb[i + 1] - eb[i])))
+        elif m == 0:
+            edits += int(max(sa[i + 1] - ea[i], sb[i + 1] - eb[i]))
+        else:
+            edits += _gap(a[ea[i] : sa[i + 1]], b[eb[i] : sb[i + 1]])
+    return edits
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    return max(len(a), len(b)) - int((a[:n] == b[:n]).sum())
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Do two texts (word hashes) count as copies?"""
+    longest = max(len(a), len(b))
+    if min(len(a), len(b)) < similarity * longest - 1e-9:
+        return False
+    ha, hb = shingles(a), shingles(b)
+    ka, kb = np.unique(ha), np.unique(hb)
+    if 2 * len(np.intersect1d(ka, kb, assume_unique=True)) < max(len(ka), len(kb)):
+        return False
+    return 1 - chained(a, b, ha, hb) / longest >= similarity or aligned(a, b, similarity) is not None
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float | None:
     """1 - edits / words of the longer, if that is ``similarity`` at least: by furthest-reaching points on the diagonals of a band."""
     longest = max(len(a), len(b))
@@ -186,10 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = X.checkpoint(rows.mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
     classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
-    band = classes.select("node", "size", F.posexplode("bands").alias("band", "sketch"))
-    tied = band.groupBy("band", "sketch").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    groups = X.checkpoint(band.join(tied, ["band", "sketch"]).select("band", "sketch", "node", "size", "hub"))
-    links = _rounds(rows, classes, groups, similarity)
+    links = _rounds(rows, classes, similarity)
     degree = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = degree.join(classes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
     member = components(links)
@@ -201,35 +280,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
 
 
-def _rounds(rows: DataFrame, classes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def _hubs(members: DataFrame) -> DataFrame:
+    """members: g, at, node, size. Groups of several, each row with the group's hub (the least node) and the hub's size."""
+    tied = members.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("h")).where("n > 1").select("g", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    return members.join(tied, "g")
+
+
+def _rounds(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """a, b: the verified links between class nodes."""
-    one = groups.select("node").union(groups.select("hub")).distinct()
-    # texts of the nodes that have a partner, by their representative row
-    wanted = classes.join(one, "node", "left_semi").select(F.col("rep").alias("id"), "node", "key", "size")
-    edges = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    band = classes.select("node", "size", F.posexplode("bands").alias("at", "sketch"))
+    groups = X.checkpoint(_hubs(band.select(F.xxhash64("at", "sketch").alias("g"), "at", "node", "size")))
+    wanted = classes.join(groups.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("id"), "node", "key")
     texts = X.checkpoint(_words(rows.join(wanted, "id")))
-    done = X.checkpoint(_verify(texts, edges, similarity))
-    found = [done.where("ok").select("a", "b")]
-    hubs = 1
-    # members that are not like the hub of their group
-    open_ = groups.where("node <> hub").join(done.where("not ok").select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"])
-    rest = X.checkpoint(open_.select("band", "sketch", "node"))
-    old = groups.select("band", "sketch", F.col("hub").alias("node")).distinct()  # every one of a group but former hubs is compared with the new hubs
-    everyone = groups.select("band", "sketch", "node").join(old, ["band", "sketch", "node"], "left_anti")
+    found: list[DataFrame] = []
+    level = 0
     while True:
+        edges = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
+        done = X.checkpoint(_verify(texts, edges, similarity))
+        found.append(done)
+        unlike = groups.where("node <> hub").join(done.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
+        rest = X.checkpoint(unlike.select("g", "at", "node", "size"))
+        level += 1
+        if level > LEVELS:
+            break
+        known = rest.join(classes.select("node", "bands"), "node")
+        steps = F.explode(F.array(*[F.lit(3 * (level - 1) + j) for j in (1, 2, 3)]))
+        other = known.withColumn("step", steps).withColumn("sketch", F.element_at("bands", ((F.col("at") + F.col("step")) % BANDS + 1).cast("int")))
+        groups = X.checkpoint(_hubs(other.select(F.xxhash64("g", "step", "sketch").alias("g"), "at", "node", "size")))
+        if groups.isEmpty():
+            break
+    hubs = 1
+    while level > LEVELS:
+        rest = X.checkpoint(_hubs(rest).select("g", "at", "node", "size"))
         if rest.isEmpty():
             break
-        hubs *= 4
-        # up to so many of each group, whatever its size: the least of each of so many shares
-        chosen = X.checkpoint(rest.groupBy("band", "sketch", F.pmod(F.xxhash64("node"), F.lit(hubs))).agg(F.min("node").alias("hub")).select("band", "sketch", "hub"))
-        pairs = X.checkpoint(everyone.join(chosen, ["band", "sketch"]).select("band", "sketch", "node", "hub").where("node <> hub"))
-        new = pairs.select(F.greatest("hub", "node").alias("b"), F.least("hub", "node").alias("a")).distinct()
-        done = X.checkpoint(_verify(texts, new, similarity))
-        found.append(done.where("ok").select("a", "b"))
-        like = pairs.join(done.where("ok"), (F.greatest("hub", "node") == F.col("b")) & (F.least("hub", "node") == F.col("a"))).select("band", "sketch", "node").distinct()
-        were = chosen.select("band", "sketch", F.col("hub").alias("node"))
-        rest = X.checkpoint(rest.join(were, ["band", "sketch", "node"], "left_anti").join(like, ["band", "sketch", "node"], "left_anti"))
-        everyone = X.checkpoint(everyone.join(rest.select("band", "sketch").distinct(), ["band", "sketch"], "left_semi").join(were, ["band", "sketch", "node"], "left_anti"))
+        hubs *= 16
+        # up to so many hubs of each group, whatever its size: the least of each of so many shares
+        chosen = X.checkpoint(rest.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(hubs))).agg(F.min(F.struct("node", "size")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size")))
+        pairs = X.checkpoint(rest.join(chosen, "g").where("node <> hub"))
+        edges = pairs.select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
+        done = X.checkpoint(_verify(texts, edges, similarity))
+        found.append(done)
+        like = pairs.join(done.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_semi").select("g", "node")
+        rest = X.checkpoint(rest.join(like.union(chosen.select("g", F.col("hub").alias("node"))), ["g", "node"], "left_anti"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -237,7 +330,7 @@ def _rounds(rows: DataFrame, classes: DataFrame, groups: DataFrame, similarity:
 
 
 def _words(wanted: DataFrame) -> DataFrame:
-    """node, size, words: 32-bit word hashes of the rows whose text is the class's (an id may repeat with another text)."""
+    """node, words: 32-bit word hashes of the rows whose text is the class's (an id may repeat with another text)."""
 
     def run(batches):
         for whole in batches:
@@ -252,32 +345,28 @@ def _words(wanted: DataFrame) -> DataFrame:
                             keep.append(i)
                             words.append((t[cut[i] : cut[i + 1]] >> U(32)).astype("<u4").tobytes())
                 part = b.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "size": part.column("size"), "words": pa.array(words, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "words": pa.array(words, pa.binary())})
 
-    return wanted.mapInArrow(run, "node long, size long, words binary").dropDuplicates(["node"])
+    return wanted.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
 def _verify(texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """a, b, ok. The partners of a are dealt in parts, each with its own copy of a's words."""
-    size = texts.select("node", "size")
-    sized = edges.join(size.withColumnRenamed("node", "b").withColumnRenamed("size", "nb"), "b").join(size.withColumnRenamed("node", "a").withColumnRenamed("size", "na"), "a")
-    near = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
-    sized = X.checkpoint(sized.withColumn("near", near))
-    number = sized.where("near").groupBy("a").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
-    dealt = sized.where("near").join(number, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    """a, b: those edges (a, na, b, nb: nodes and their words) whose texts are copies. The partners of a are dealt in parts, each with its own copy of a's words."""
+    near = edges.where(F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")).select("a", "b")
+    number = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
+    dealt = near.join(number, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     members = dealt.join(texts.select(F.col("node").alias("b"), "words"), "b").select("a", "part", "b", "words")
     heads = dealt.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), "words"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "words")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf["b"].isna().to_numpy()
-        own = np.frombuffer(pdf["words"][head].iloc[0], "<u4")
+        own = np.frombuffer(pdf["words"][head].iloc[0], "<u4").astype(U)
         rest = pdf[~head]
-        ok = [aligned(own, np.frombuffer(w, "<u4"), similarity) is not None for w in rest["words"]]
-        return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["id"].astype("int64"), "ok": ok})
+        ok = [alike(own, np.frombuffer(w, "<u4").astype(U), similarity) for w in rest["words"]]
+        return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["id"].astype("int64")})[ok]
 
     both = members.withColumn("id", F.col("b")).unionByName(heads.withColumn("id", F.lit(0).cast("long")))
-    done = both.groupBy("a", "part").applyInPandas(compare, "a long, b long, ok boolean")
-    return done.union(sized.where("not near").select("a", "b", F.lit(False)))
+    return both.groupBy("a", "part").applyInPandas(compare, "a long, b long")
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
