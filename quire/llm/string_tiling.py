@@ -8,7 +8,8 @@ reordered is still covered.  A document is contaminated if its tiles cover
 ``coverage`` of an item's words.
 
 The benchmark is dealt to the workers in blocks of bounded size, one pass a block,
-so it may be larger than a worker's memory.
+so it may be larger than a worker's memory.  With several blocks, a filter of fixed
+size over all seeds first sets aside the documents that hold none of them.
 
 Nulls: a null text has no words and matches nothing; an item with fewer than
 ``least`` words can't be matched; ties go to the smallest item id; an item with a
@@ -33,6 +34,7 @@ U = np.uint64
 LEAST = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 8_000_000
+FILTER_BITS = 27  #: the filter over all seeds has 2 ** 27 of them, 16 MB
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words are runs of letters, digits and characters beyond ASCII.
@@ -183,6 +185,24 @@ class Block:
                     yield r, self.ids[k], covered, len(tiles)
 
 
+def _flag(packed, text: str, least: int):
+    """Adds ``maybe``: does a row hold a run of words whose hash any seed has?"""
+
+    def run(batches):
+        sieve = np.unpackbits(packed.value).view(bool)
+        for whole in batches:
+            for part in X.slices(whole, text):
+                t, first = text_words(part.column(text))
+                maybe = np.zeros(part.num_rows, bool)
+                if len(t) >= least:
+                    at = np.flatnonzero(sieve[(grams(t, least) & U(len(sieve) - 1)).astype(np.int64)])
+                    row = np.searchsorted(first, at, "right") - 1
+                    maybe[row[at + least <= first[row + 1]]] = True
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(maybe)], names=[*part.schema.names, "maybe"])
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE, out: str = "leak_") -> DataFrame:
     """All columns, and ``out`` + contaminated (boolean), coverage (of the item covered best; 0 if none is covered enough), item_id, tiles, items (all items covered enough)."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
@@ -195,9 +215,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     df = docs.toDF(*names).withColumn(text, F.col(text).cast("string")).withColumn("found", F.array().cast(found_type))
     kind = pa.list_(pa.struct([("coverage", pa.float64()), ("item", pa.int64()), ("tiles", pa.int32())]))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    for b in range(blocks):  # about BLOCK_BYTES each
-        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Block.of(rows, least))
+    part_of = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    rows_of = lambda b: [(r["i"], r["t"]) for r in items.where(part_of == b).collect()]  # noqa: E731  about BLOCK_BYTES
+    clean = None
+    if blocks > 1:
+        sieve = np.zeros(1 << FILTER_BITS, bool)
+        for b in range(blocks):
+            sieve[(Block.of(rows_of(b), least).seeds & U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        packed = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+        flagged = df.mapInArrow(_flag(packed, text, least), T.StructType([*schema.fields, T.StructField("maybe", T.BooleanType())]))
+        clean = flagged.where("not maybe").drop("maybe")
+        df = X.checkpoint(flagged.where("maybe").drop("maybe"))
+    for b in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(Block.of(rows_of(b), least))
 
         def run(batches, shared=shared):
             for whole in batches:
@@ -209,6 +239,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield pa.RecordBatch.from_pydict({n: part.column(n) for n in names} | {"found": pa.array(found, kind)})
 
         df = df.mapInArrow(run, schema)
+        if blocks > 1:  # one block in a worker at a time
+            df = X.checkpoint(df)
+    if clean is not None:
+        df = df.unionByName(clean)
     best = F.array_sort("found", lambda x, y: F.when(x["coverage"] != y["coverage"], F.when(x["coverage"] > y["coverage"], -1).otherwise(1)).when(x["item"] < y["item"], -1).when(x["item"] > y["item"], 1).otherwise(0))[0]
     some = F.size("found") > 0
     best = F.when(some, best)
