@@ -211,7 +211,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = N
                 out = {n: batch.column(n) for n in names} | {"ids": pa.array(ids, pa.binary())} | ({"back": pa.array(back, pa.binary())} if decode else {})
                 yield pa.RecordBatch.from_pydict(out)
 
-    return inner.mapInArrow(run, schema).toDF(*[f.name for f in fields], ids_col, *[decoded_col] * decode)
+    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], ids_col, *[decoded_col] * decode)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "token_ids", ranks_path: str | None = None, pattern: str | None = None, decoded_col: str = "decoded") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+BATCH_BYTES = 8_000_000
 CHUNK_SCHEMA = "chunk_id long, kind int, bucket int, n_bytes long, data binary"
 
 
@@ -42,6 +43,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def arrow(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python workers bounded in bytes: ten thousand rows of long texts don't fit a small worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def pack(data: bytes | np.ndarray, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
 
@@ -117,7 +124,7 @@ def make_chunks(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return checkpoint(df.mapInArrow(pieces, CHUNK_SCHEMA))
+    return checkpoint(arrow(df).mapInArrow(pieces, CHUNK_SCHEMA))
 
 
 def measure(chunks: DataFrame) -> tuple[int, int]:
@@ -147,7 +154,7 @@ def scatter(chunks: DataFrame, ask) -> DataFrame:
                 if found:
                     yield row_batch(chunk_id, 1, [x[0] for x in found], [x[1] for x in found])
 
-    return chunks.mapInArrow(run, CHUNK_SCHEMA)
+    return arrow(chunks).mapInArrow(run, CHUNK_SCHEMA)
 
 
 def answer(asked: DataFrame, reply) -> DataFrame:

@@ -94,7 +94,7 @@ def classify(df: DataFrame, model: LanguageModel, text_col: str, out: str = "lan
                 pred, score, cross, rejected = shared.value.judge(b.column(names[at]).to_pylist())
                 yield pa.RecordBatch.from_pydict({n: b.column(n) for n in names} | {"pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "cross": pa.array(cross, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
 
-    return inner.mapInArrow(run, schema).toDF(*[f.name for f in fields], f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected")
+    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected")
 
 
 def fold(id_col: str, of: int):

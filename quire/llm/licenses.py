@@ -207,7 +207,7 @@ def license_scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templat
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + columns, names=schema.names)
 
-    return inner.mapInArrow(run, schema).toDF(*[f.name for f in fields], *[out + f.name for f in T.StructType.fromDDL(more).fields])
+    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], *[out + f.name for f in T.StructType.fromDDL(more).fields])
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

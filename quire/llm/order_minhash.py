@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS), pa.int32()), pa.array(found.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_pydict({"id": b.column("id"), "key": pa.array(keys, pa.binary()), "size": pa.array(size, pa.int64()), "bands": flat})
 
-    made = X.checkpoint(rows.mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
+    made = X.checkpoint(X.arrow(rows).mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
     classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
     links = _rounds(rows, classes, similarity)
@@ -347,7 +347,7 @@ def _words(wanted: DataFrame) -> DataFrame:
                 part = b.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_pydict({"node": part.column("node"), "words": pa.array(words, pa.binary())})
 
-    return wanted.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
+    return X.arrow(wanted).mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
 def _verify(texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:

@@ -518,7 +518,7 @@ def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: i
 
     step = max(1, n_chunks // chunks_read)
     some = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0)
-    return np.sort(np.array([bytes(r[0]) for r in some.mapInArrow(run, "lead binary").collect()], f"S{LEAD}"))
+    return np.sort(np.array([bytes(r[0]) for r in X.arrow(some).mapInArrow(run, "lead binary").collect()], f"S{LEAD}"))
 
 
 def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tree, rewrite, schema):

@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         for b in range(blocks):
             sieve[(Block.of(rows_of(b), least).seeds & U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         packed = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
-        flagged = df.mapInArrow(_flag(packed, text, least), T.StructType([*schema.fields, T.StructField("maybe", T.BooleanType())]))
+        flagged = X.arrow(df).mapInArrow(_flag(packed, text, least), T.StructType([*schema.fields, T.StructField("maybe", T.BooleanType())]))
         clean = flagged.where("not maybe").drop("maybe")
         df = X.checkpoint(flagged.where("maybe").drop("maybe"))
     for b in range(blocks):
@@ -238,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         found[r] = (found[r] or []) + [{"coverage": covered, "item": item, "tiles": tiles}]
                     yield pa.RecordBatch.from_pydict({n: part.column(n) for n in names} | {"found": pa.array(found, kind)})
 
-        df = df.mapInArrow(run, schema)
+        df = X.arrow(df).mapInArrow(run, schema)
         if blocks > 1:  # one block in a worker at a time
             df = X.checkpoint(df)
     if clean is not None:
