@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from ..functions import frontmatter as fm
 from ..functions.markdown import facts
-from ..functions.paths import concept_id_column, in_path_order
-from ..model import CONCEPTS, ERROR, LINKS, RESERVED_DOCUMENTS, ValidationReport, Violation
+from ..functions.paths import concept_id_column
+from ..model import ERROR, LINKS, ValidationReport, Violation
 from ..sources.bundle_source import read_bundle
 from . import graph, links, rules
 from .parse import parse_documents

@@ -92,9 +92,10 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     from .graph import checkpoint
 
     dealt = checkpoint(dealt)  # the partition ids must not change between the two passes
-    parts = dealt.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
-    offsets = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(F.broadcast(offsets), "__p").withColumn("__n", F.col("__i") - F.col("first") + F.col("before")).drop("__p", "__i", "n", "first", "before")
+    parts = dealt.groupBy("__p").agg(F.count("*").alias("__count"), F.min("__i").alias("__first"))
+    before = F.sum("__count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("__p", "__first", F.coalesce(before, F.lit(0)).alias("__before"))  # a row a partition
+    return dealt.join(F.broadcast(offsets), "__p").withColumn("__n", F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before")
 
 
 def duplicate_slugs(planned: DataFrame) -> DataFrame:

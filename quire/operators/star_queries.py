@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import casts, frontmatter, lexemes, paths
+from ..functions import casts, lexemes, paths
+from ..plans import declared
 from ..sources.exclusion import Exclusion
-from . import bundle, diff, graph, imports, links, lookup, relational, rules
+from . import bundle, diff, graph, imports, links, lookup, relational, rules, typed
 from .parse import parse_documents
-from .star import document, path, star_documents, star_parsed, table
+from .star import document, path, star_parsed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,6 +363,31 @@ def spelling_collision(spark, sf):
     return spelling_collisions(names).select("field", "spellings")
 
 
+_CANDIDATES = ("BOOLEAN", "BIGINT", "DOUBLE", "DATE", "TIMESTAMPTZ")
+_VOTED = {"day": "strftime(o_orderdate, '%Y-%m-%d')", "price": "o_totalprice::VARCHAR", "key": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey::VARCHAR END", "status": "o_orderstatus"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, '{c}' AS candidate, count({e}) AS filled, count(TRY_CAST({e} AS {c})) AS clean FROM orders" for f, e in _VOTED.items() for c in _CANDIDATES))
+def cast_vote(spark, sf):
+    order = table(spark, sf, "orders")
+    texts = order.select(F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"), F.col("o_totalprice").cast("string").alias("price"), F.expr("case when o_orderkey % 5 > 0 then cast(o_orderkey as string) end").alias("key"), F.col("o_orderstatus").alias("status"))
+    return typed.cast_vote(texts, list(_VOTED))
+
+
+@query("SELECT 'customer/' || c_custkey || '.md' AS path, c_nationkey::VARCHAR AS raw_nation, c_nationkey::BIGINT AS nation, c_mktsegment AS segment, c_name AS title, 3::BIGINT AS lines FROM customer")
+def typed_table(spark, sf):
+    declaration = declared.declare('CREATE TABLE customer (nation BIGINT, "Segment" VARCHAR, missing DATE[])', "Customer")
+    concepts = _concepts(spark, sf)
+    relation = typed.TypedRelations(concepts, {"Customer": declaration})["Customer"]
+    return relation.select(F.col("__okf_path").alias("path"), F.col("__okf_raw_nation").alias("raw_nation"), "nation", F.col("Segment").alias("segment"), "title", F.size("__okf_body_lines").cast("long").alias("lines"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n, string_split(text, chr(10))[1] AS first_line FROM documents")
+def body_lines(spark, sf):
+    lines = typed.body_lines(F.regexp_replace("text", "\n", "\r\n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.get(lines, F.lit(0)).alias("first_line"))
+
+
 # ---- reading
 
 

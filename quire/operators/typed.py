@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import LogicalType, logical_type, typed
 from ..functions.lexemes import KINDS
-from ..functions.paths import fold
+from ..functions.paths import fold, fold_column
 from ..model import INTERNAL
-from ..plans.contract import facts, observations, spelling_collisions, structured_fields
+from ..plans.contract import facts, observations, structured_fields
 from ..plans.declared import Declaration, ddl
 
 IDENTITY = ("path", "concept_id", "logical_key")
@@ -39,6 +39,12 @@ def _entry(name: Column, kind: LogicalType | None) -> Column:
     return F.when(kind_of == "STRING", raw)
 
 
+def _spelled(keys: Column, name: str) -> Column:
+    """The keys that are ``name`` under folding."""
+    folded = fold(name)
+    return F.filter(keys, lambda k: fold_column(k) == folded)
+
+
 def typed_table(concepts: DataFrame, concept_type: str, declaration: Declaration, undeclared: list[str]) -> DataFrame:
     """Internal columns, for each declared column what was written and its typed value, then undeclared scalar fields as texts."""
     own = concepts.where(F.col("concept_type") == concept_type)
@@ -46,9 +52,7 @@ def typed_table(concepts: DataFrame, concept_type: str, declaration: Declaration
     columns: list[Column] = [F.col(c).alias(INTERNAL + c) for c in IDENTITY]
     columns += [F.col("body").alias(INTERNAL + "body"), body_lines(F.col("body")).alias(INTERNAL + "body_lines")]
     for name, kind in declaration.columns.items():
-        folded = fold(name)
-        spelled = F.get(F.filter(keys, lambda k, f=folded: F.translate(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == f), F.lit(0))
-        raw = _entry(spelled, kind)
+        raw = _entry(F.get(_spelled(keys, name), F.lit(0)), kind)
         comment = {"comment": declaration.comments[name]} if name in declaration.comments else None
         columns += [raw.alias(f"{INTERNAL}raw_{name}"), typed(raw, kind).alias(name, metadata=comment) if comment else typed(raw, kind).alias(name)]
     columns += [_entry(F.lit(name), None).alias(name) for name in undeclared]
@@ -58,16 +62,23 @@ def typed_table(concepts: DataFrame, concept_type: str, declaration: Declaration
 def plan(concepts: DataFrame, declarations: Mapping[str, Declaration]) -> dict[str, list[str]]:
     """Undeclared scalar fields of each declared type, by folded name. One aggregation over all types; a field that is structured on any document is left out, and two spellings of one field are an error."""
     own = concepts.where(F.col("concept_type").isin(*declarations)) if declarations else concepts.where("false")
-    names = observations(own).where(F.size("path") == 1).select("concept_type", F.col("path")[0].alias("field")).distinct()
-    if clash := spelling_collisions(names).limit(1).collect():
-        raise TypedError(f"field {clash[0]['field']!r} of type {clash[0]['concept_type']!r} is spelled in several ways")
+    names = [(r["concept_type"], r["field"]) for r in observations(own).where(F.size("path") == 1).select("concept_type", F.col("path")[0].alias("field")).distinct().collect()]  # a row per type and field
     structured = {(r["concept_type"], r["field"]) for r in structured_fields(own).collect()}
-    out: dict[str, list[str]] = {t: [] for t in declarations}
-    for r in names.collect():  # a row per type and field
-        kind, name = r["concept_type"], r["field"]
-        if fold(name) not in map(fold, declarations[kind].columns) and (kind, fold(name)) not in structured and not fold(name).startswith(INTERNAL):
-            out[kind].append(name)
-    return {t: sorted(names, key=fold) for t, names in out.items()}
+    keys = F.json_object_keys("frontmatter_json")
+    for t, d in declarations.items():
+        doubled = [F.max(F.when(F.col("concept_type") == t, F.size(_spelled(keys, c)))).alias(f"c{i}") for i, c in enumerate(d.columns)]
+        most = own.agg(*doubled).first() if doubled else ()
+        for c, n in zip(d.columns, most):
+            if (n or 0) > 1:
+                raise TypedError(f"a document of type {t!r} spells the declared column {c!r} in several ways")
+    out: dict[str, dict[str, str]] = {t: {} for t in declarations}
+    for kind, name in names:
+        key = fold(name)
+        if key in set(map(fold, declarations[kind].columns)) or (kind, key) in structured or key.startswith(INTERNAL):
+            continue
+        if out[kind].setdefault(key, name) != name:
+            raise TypedError(f"type {kind!r} has undeclared fields that are one under folding: {out[kind][key]!r}, {name!r}")
+    return {t: [name for _, name in sorted(found.items())] for t, found in out.items()}
 
 
 class TypedRelations:

@@ -94,5 +94,6 @@ def read_bundle(spark: SparkSession, root: str, exclude=(), capability: str = "c
     if not Path(root).is_dir():
         raise NotADirectoryError(f"Markdown root is not a directory: {Path(root).resolve()}")
     spark.dataSource.register(BundleSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else a reader with pushFilters is refused
     reader = spark.read.format("bundle").option("root", str(Path(root).resolve())).option("exclude", "\n".join(exclude)).option("capability", capability)
     return (reader.option("partitions", str(partitions)) if partitions else reader).load()

@@ -89,7 +89,7 @@ def test_graph(spark, monkeypatch, small):
     nodes = spark.createDataFrame([(c,) for c in "abcdefgh"], "id string")
     edges = make(("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("a", "b"))
     one = graph.summary(nodes, edges).first()
-    assert (one["nodes"], one["edges"], one["weak_components"], one["strong_components"], one["is_dag"]) == (8, 8, 4, 6, False)
+    assert (one["nodes"], one["edges"], one["weak_components"], one["strong_components"], one["is_dag"]) == (8, 8, 4, 5, False)
     strong = {r["node"]: r["component"] for r in graph.strong_components(nodes, edges).collect()}
     assert strong["a"] == strong["b"] == strong["c"] == "a" and strong["d"] == strong["e"] == "d" and strong["f"] == "f"
     assert graph.is_dag(make(("a", "b"), ("b", "c"), ("a", "c"))) and not graph.is_dag(make(("a", "a")))
@@ -206,14 +206,14 @@ def test_sql_text():
 
 
 def test_apply(spark, tmp_path):
-    write(tmp_path, {"a.md": "---\ntype: T\ns: old\nk: null\n---\nA\n", "b.md": "---\ntype: T\ns: other\n---\nB\n", "c.md": "---\ntype: U\ns: old\nz: [1]\n---\n"})
+    write(tmp_path, {"a.md": "---\ntype: T\ns: old\nk: keep\nnone: null\n---\nA\n", "b.md": "---\ntype: T\ns: other\n---\nB\n", "c.md": "---\ntype: U\ns: old\nz: [1]\n---\n"})
     root = str(tmp_path)
     dry = apply.apply_sql(spark, root, "UPDATE T SET s = 'new' WHERE s = 'old'")
     assert dry["changed"] == ["a.md"] and not dry["written"] and "old" in (tmp_path / "a.md").read_text()
     with pytest.raises(StaleError):
         apply.apply_sql(spark, root, "UPDATE T SET s = 'new' WHERE s = 'old'", write=True, expected_token="x")
     done = apply.apply_sql(spark, root, "UPDATE T SET s = 'new' WHERE s = 'old'", write=True, expected_token=dry["preview_token"])
-    assert done["written"] and (tmp_path / "a.md").read_text() == "---\ntype: T\ns: new\nk: null\n---\nA\n"
+    assert done["written"] and (tmp_path / "a.md").read_text() == "---\ntype: T\ns: new\nk: keep\n---\nA\n"  # a selected null goes
     assert apply.apply_sql(spark, root, "ALTER TABLE T RENAME COLUMN s TO q; ALTER TABLE T RENAME COLUMN q TO r; UPDATE T SET __okf_path = __okf_path WHERE FALSE", write=True)["changed"] == ["a.md", "b.md"]
     assert (tmp_path / "b.md").read_text() == "---\ntype: T\nr: other\n---\nB\n"
     assert apply.apply_sql(spark, root, "ALTER TABLE T DROP COLUMN k; UPDATE T SET r = r WHERE FALSE", write=True)["changed"] == ["a.md"]

@@ -88,3 +88,23 @@ def test_changes_stream(spark, tmp_path):
     query.stop()
     found = [(r["path"], bytes(r["content"]).decode() if r["content"] is not None else None, r["removed"]) for r in spark.table("changes").collect()]
     assert sorted(found, key=str) == sorted([("a.md", "one", False), ("a.md", "two!", False), ("b.md", "three", False), ("a.md", None, True)], key=str)
+
+
+def test_graphql(spark, tmp_path):
+    from quire.operators import bundle, graphql, typed
+    from quire.plans.declared import declare
+
+    (tmp_path / "a.md").write_text("---\ntype: Task\ntitle: A\ncost: 12.50\nwhen: x\n---\n[b](b.md)\n")
+    (tmp_path / "b.md").write_text("---\ntype: Note\n---\n[gone](gone.md)\n")
+    loaded = bundle.load_bundle(spark, str(tmp_path))
+    plain = graphql.ReadAdapter(loaded)
+    out = plain.execute('query Q($n: Int) { concept(id: "a") { id kind: type links { rawTarget exists } ... on Task { cost } } all: concepts(first: $n, offset: 0) { path linkedFrom { sourceId } diagnostics { code } } }', {"n": 2})
+    assert out["errors"] == [] and out["data"]["concept"] == {"id": "a", "kind": "Task", "links": [{"rawTarget": "b.md", "exists": True}], "cost": "12.50"}
+    assert out["data"]["all"] == [{"path": "a.md", "linkedFrom": [], "diagnostics": []}, {"path": "b.md", "linkedFrom": [{"sourceId": "a"}], "diagnostics": [{"code": "OKF101"}]}]
+    relations = typed.TypedRelations(loaded.concepts, {"Task": declare("CREATE TABLE Task (cost DECIMAL(9,2), \"when\" DATE)", "Task")})
+    assert graphql.ReadAdapter(loaded, relations).execute('{ concept(id: "a") { cost when } }')["data"]["concept"] == {"cost": "12.50", "when": None}
+    assert plain.execute('{ concept(id: "zzz") { id } }') == {"data": {"concept": None}, "errors": []}
+    for bad in ("{ concept }", "{ nothing { id } }", "{ concepts(first: 0) { id } }", '{ concept(id: "a") { links { nope } } }'):
+        assert plain.execute(bad)["errors"]
+    assert plain.execute("mutation { x }")["data"] is None and plain.execute("{ a")["data"] is None
+    loaded.close()
