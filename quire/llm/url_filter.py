@@ -53,10 +53,13 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[st
     fits = rule_for(F.col("url_host"), F.col("url_path"), rules) if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
     judged = judged.withColumn("url_fits", fits).withColumn("url_rule", F.col("url_fits.rule")).withColumn("url_said", F.col("url_fits.verdict")).drop("url_fits")
     text = F.concat("url_host", "url_path")
-    taught = judged.where("url_said is not null").select("url_said", text.alias("u")).where(F.length("u").between(1, longest)).distinct()
+    taught = judged.where("url_said is not null").select("url_said", text.alias("u")).where(F.length("u").between(1, longest))
+    number = {r["url_said"]: r["n"] for r in taught.groupBy("url_said").agg(F.approx_count_distinct("u").alias("n")).collect()}
+    dice = F.pmod(F.xxhash64("u"), F.lit(1 << 30)) / float(1 << 30)
     learn: dict[str, list[str]] = {}
-    for kind in ("allow", "block"):
-        learn[kind] = [r["u"] for r in taught.where(F.col("url_said") == kind).orderBy(F.xxhash64("u"), "u").limit(sample).collect()]
+    for kind in ("allow", "block"):  # about twice the sample is looked at, however many there are
+        some = taught.where((F.col("url_said") == kind) & (dice < min(1.0, 2 * sample / max(1, number.get(kind, 1))))).select("u").distinct()
+        learn[kind] = [r["u"] for r in some.orderBy(F.xxhash64("u"), "u").limit(sample).collect()]
     scorer = None
     if learn["allow"] and learn["block"]:
         part = {k: (v[::2], v[1::2] or v) for k, v in learn.items()}
