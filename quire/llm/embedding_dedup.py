@@ -102,8 +102,10 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n = classes.count()
     if not n:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-    # pivots: a bounded sample of vectors of the commonest dimensions, by hash
-    sample = [r["v"] for r in classes.where(F.size("v") <= 1 << 14).orderBy("key").limit(pivots).collect()]
+    # pivots: a bounded sample of vectors, by hash; no more than tiles, as each makes a tile at least
+    wanted = max(1, min(pivots, n // tile))
+    dice = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    sample = [r["v"] for r in classes.where((F.size("v") <= 1 << 14) & (dice < min(1.0, 8 * wanted / n))).orderBy("key").limit(wanted).collect()]
     by_size: dict[int, np.ndarray] = {}
     for s in {len(x) for x in sample}:
         p = np.array([x for x in sample if len(x) == s])
@@ -130,13 +132,30 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tiles = X.checkpoint(tiled.groupBy("dim", "pivot", "part").agg(F.min("angle").alias("near"), F.max("angle").alias("far")).withColumn("t", F.xxhash64("dim", "pivot", "part")))
     partners = _partners(df.sparkSession, tiles, by_size, threshold)
     members = tiled.withColumn("t", F.xxhash64("dim", "pivot", "part")).select("t", "rep", "copies", "v")
-    dealt = members.join(partners, "t").select("pair", "first", "rep", "copies", "v")
+
+    def pack(table: pa.Table) -> pa.Table:
+        """A tile as one row, so that tiles and not vectors are dealt to the pairs; single precision where that is what the vectors hold."""
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        with np.errstate(over="ignore"):
+            narrow = x.astype("<f4")
+        whole = bool((narrow == x).all())
+        head = np.array([table.num_rows, x.shape[1], whole], "<i8").tobytes()
+        body = head + table.column("rep").to_numpy().astype("<i8").tobytes() + table.column("copies").to_numpy().astype("<i8").tobytes() + (narrow if whole else x.astype("<f8")).tobytes()
+        return pa.table({"t": pa.array([table.column("t")[0].as_py()], pa.int64()), "data": pa.array([X.pack(body)], pa.binary())})
+
+    def unpack(data: bytes):
+        raw = X.unpack(data)
+        n, dim, whole = np.frombuffer(raw, "<i8", 3).tolist()
+        ids, copies = np.frombuffer(raw, "<i8", n, 24), np.frombuffer(raw, "<i8", n, 24 + 8 * n)
+        return ids, copies, np.frombuffer(raw, "<f4" if whole else "<f8", n * dim, 24 + 16 * n).astype(np.float64).reshape(n, dim)
+
+    packed = members.groupBy("t").applyInArrow(pack, "t long, data binary")
+    dealt = packed.join(partners, "t").select("pair", "first", "data")
 
     def compare(table: pa.Table) -> pa.Table:
-        first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        dim = len(table.column("v")[0])
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        parts = [unpack(d.as_py()) for d in table.column("data")]
+        first = np.repeat(table.column("first").to_numpy(zero_copy_only=False).astype(bool), [len(p[0]) for p in parts])
+        ids, copies, x = (np.concatenate([p[k] for p in parts]) for k in range(3))
         alone = bool(first.all())
         a, b = np.flatnonzero(first), np.flatnonzero(first) if alone else np.flatnonzero(~first)
         pairs = linked_pairs(ids[a], x[a], ids[b], x[b], threshold, alone)
