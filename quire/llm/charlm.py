@@ -118,7 +118,7 @@ def variable_order(texts: list[str], order: int, least: int = 2) -> CharModel:
     return CharModel(order, 1.0 / (len(raw[0][0]) + 1), grams, contexts)
 
 
-def log_probabilities(models: list[CharModel], texts: list[str], step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(models: list[CharModel], texts: list[str], step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(natural log of each model's probability of each text, characters of each text)."""
     out = np.zeros((len(texts), len(models)))
     size = np.array([len(t) for t in texts], np.int64)

@@ -1,9 +1,9 @@
 """Language ID by interpolated Kneser-Ney character models, one a language.
 
 The language whose model has the lowest cross-entropy per character is chosen.
-A text is *rejected* if even that is higher than held-out texts of its language
-and length have it: the limit is calibrated on a second sample, never on the texts
-that are judged.
+A text is *rejected* if even that is higher than held-out texts of its length have
+it in any language (so that a text that mixes languages is not): the limits are
+calibrated on a second sample, never on the texts that are judged.
 
 The models learn from a bounded sample of labelled texts (``per_language`` texts
 of each language, of ``longest`` characters at most, by the hash of the id; at
@@ -31,6 +31,7 @@ ORDER = 4
 PER_LANGUAGE = 400
 LONGEST = 20_000
 LANGUAGES = 64
+MARGIN = 1.0  #: the least that a limit lies above the middle of held-out texts, in nats a character
 UNKNOWN = "und"
 
 
@@ -50,8 +51,9 @@ class LanguageModel:
         low = cross[np.arange(len(best)), best]
         odds = np.exp(-(cross - low[:, None]) * np.minimum(size, 100)[:, None])
         score = np.where(some, 1 / odds.sum(axis=1), 0.0)
-        limit = np.array([[*x] for x in self.limits])[best]
-        rejected = ~np.array(some, bool) | (low > limit[:, 0] + limit[:, 1] + limit[:, 2] / np.sqrt(np.maximum(size, 1)))
+        limit = max(middle + spread for middle, spread, _ in self.limits)
+        short = max(x for _, _, x in self.limits)
+        rejected = ~np.array(some, bool) | (low > limit + short / np.sqrt(np.maximum(size, 1)))
         return [self.names[b] if s else UNKNOWN for b, s in zip(best, some)], score, low, rejected
 
 
@@ -74,7 +76,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
         total, size = log_probabilities([models[k]], texts)
         cross = -total[:, 0] / np.maximum(size, 1)
         middle = float(np.median(cross))
-        limits.append((middle, max(float(cross.max()) - middle, 6 * float(np.std(cross)), 0.5), 8 * math.log(2)))
+        limits.append((middle, max(float(cross.max()) - middle, 6 * float(np.std(cross)), MARGIN), 8 * math.log(2)))
     return LanguageModel(names, models, limits)
 
 

@@ -209,3 +209,45 @@ def test_pipeline(spark):
     for name, stage in P.STAGES:
         kept = stage(spark, odd, sf).collect()
         assert len(kept) == (0 if name == "language_id" else 2)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Documents whose fate in each stage is known, and the stages' brute-force versions."""
+    import corpus_pipeline as P
+    from quire.llm import bpe_tree, suffix_tree
+
+    rnd = random.Random(12)
+    english = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which".split()
+    german = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch".split()
+    other = lambda words, n: " ".join(rnd.choice(words) + rnd.choice(["", "", "s", "en", str(rnd.randrange(99))]) for _ in range(n))
+    rows = []
+    for i in range(60):
+        rows.append([i, other(english if i % 3 else german, rnd.randint(60, 140)), "en" if i % 3 else "de", "s", 0])
+    passage = other(english, 45)
+    for i in (4, 7, 10):
+        rows[i][1] += " " + passage
+    items = [(k, other(english, 30)) for k in range(4)]
+    rows[13][1] += " " + items[2][1]
+    families = {0: 100, 1: 101, 13: 102}
+    for old, new in families.items():
+        words = rows[old][1].split()
+        words[len(words) // 2] = "changed"
+        rows.append([new, " ".join(words), rows[old][2], "s", 0])
+    rows += [[200, None, None, None, None], [201, "", "en", "s", 0], [202, "12 34 !?", "en", "s", 0], [3, rows[3][1], "de", "s", 0]]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [(r[0], r[1]) for r in rows[:60]]  # no letters: rejected; copies and the repeated row: one stays
+    slow = {r[0]: r for r in suffix_tree.brute_force(kept)}
+    found = {r["doc_id"]: r for r in P.run(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [i for i, _ in kept if i != 13]
+    path, pattern = bpe_tree.default_vocabulary()
+    with open(path, "rb") as f:
+        library = bpe_tree.encoder(f.read(), pattern).short
+    for i, text in kept:
+        if i == 13:
+            continue
+        want = text if not slow[i][2] else text.replace(" " + passage, "")
+        assert found[i]["text"] == want == found[i]["decoded_text"]
+        assert np.frombuffer(found[i]["token_ids"], "<u4").tolist() == library.encode_ordinary(want)
+    assert [i for i in slow if slow[i][2]] == [4, 7, 10]

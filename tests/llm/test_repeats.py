@@ -119,3 +119,15 @@ def test_multikey_sorts(spark):
     for i in range(1, len(rows)):
         n = next((k for k in range(5) if rows[i][k] != rows[i - 1][k]), 5)
         assert common[i] == n
+
+
+def test_very_long_texts(spark):
+    """Longer than a chunk and than a slice of one."""
+    rnd = random.Random(11)
+    long = " ".join(f"{rnd.randrange(1 << 30):x}" for _ in range(330_000))
+    assert len(long) > X.CHUNK_BYTES
+    rows = [(5, long), (2, "x " + long), (9, "short")]
+    found = {r[0]: tuple(r[1:3]) for r in _array(spark, rows).collect()}
+    assert found == {2: (len(long) + 2, 0), 5: (len(long), len(long)), 9: (5, 0)}
+    found = {r[0]: tuple(r[1:3]) for r in _tree(spark, rows).collect()}
+    assert found == {2: (330_001, 330_000), 5: (330_000, 330_000), 9: (1, 0)}
