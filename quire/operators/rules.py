@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..model import ERROR, WARNING, code
 
-DATE = r"^\d{4}-\d{2}-\d{2}$"
+DATE = r"(?U)^\d{4}-\d{2}-\d{2}\z"  # digits of any script look like a date, and then aren't a real one
 
 
 def rows(df: DataFrame, number: int, message: Column | str, severity: str = ERROR, path: str = "path") -> DataFrame:
@@ -33,50 +33,41 @@ def has_title(headings: str = "headings") -> Column:
     return F.coalesce(F.exists(headings, lambda h: (h["level"] == 1) & h["text"].rlike(r"\S")), F.lit(False))
 
 
-def unreadable(parsed: DataFrame) -> DataFrame:
-    return rows(parsed.where("not is_reserved and error is not null"), 1, F.col("error"))
+def document_rules(parsed: DataFrame) -> DataFrame:
+    """All rules that look at one document: a list of what it breaks, made in one projection, without a shuffle."""
 
+    def said(number: int, message: Column | str) -> Column:
+        text = F.lit(message) if isinstance(message, str) else message
+        return F.struct(F.lit(code(number)).alias("code"), F.lit(ERROR).alias("severity"), F.col("path").alias("path"), text.alias("message"))
 
-def untyped(parsed: DataFrame) -> DataFrame:
-    return rows(parsed.where("not is_reserved and error is null and concept_type = ''"), 2, "frontmatter must contain a non-empty string type")
+    def day(text: Column) -> Column:
+        return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & (F.substring(text, 1, 4) > "0000"), text.try_cast("date"))
 
-
-def reserved_unreadable(parsed: DataFrame) -> DataFrame:
-    return rows(parsed.where("is_reserved and error is not null and body is null"), 3, F.col("error"))
-
-
-def _reserved(parsed: DataFrame, name: str) -> DataFrame:
-    return parsed.where(F.col("is_reserved") & F.col("body").isNotNull() & (F.element_at(F.split("path", "/"), -1) == name))
-
-
-def index_rules(parsed: DataFrame) -> list[DataFrame]:
-    index = _reserved(parsed, "index.md")
-    whole = index.where("error is null")
-    root = F.col("path") == "index.md"
+    rule = lambda number, when, message: F.when(when, said(number, message))
+    name = F.element_at(F.split("path", "/"), -1)
+    concept, failed, kept = ~F.col("is_reserved"), F.col("error").isNotNull(), F.col("body").isNotNull()
+    index, log = F.col("is_reserved") & kept & (name == "index.md"), F.col("is_reserved") & kept & (name == "log.md")
+    front, root = F.col("has_frontmatter"), F.col("path") == "index.md"
     extra = F.size(F.array_except("frontmatter_keys", F.array(F.lit("okf_version")))) > 0
-    return [
-        rows(index.where("error is not null"), 4, F.col("error")),
-        rows(whole.where(F.col("has_frontmatter") & ~root), 4, "only the bundle-root index.md may contain frontmatter"),
-        rows(whole.where(F.col("has_frontmatter") & root & extra), 4, "root index.md frontmatter may contain only okf_version"),
-        rows(whole.where(~has_title()), 5, "index.md must contain at least one level-one section"),
-    ]
-
-
-def log_rules(parsed: DataFrame) -> list[DataFrame]:
-    log = _reserved(parsed, "log.md")
-    whole = log.where("error is null")
-    dates = whole.select("path", F.posexplode("headings").alias("pos", "h")).where("h.level = 2").select("path", "pos", F.col("h.text").alias("text"))
-    dates = dates.withColumn("shaped", F.col("text").rlike(DATE)).withColumn("day", F.expr("case when text rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and substr(text, 1, 4) > '0000' then try_to_date(text, 'yyyy-MM-dd') end"))
-    before = F.lag("day").over(Window.partitionBy("path").orderBy("pos"))
-    unsorted = dates.where("day is not null").withColumn("before", before).where("day > before").select("path").distinct()
-    return [
-        rows(log.where("error is not null"), 6, F.col("error")),
-        rows(whole.where("has_frontmatter"), 6, "log.md must not contain frontmatter"),
-        rows(whole.where(~has_title()), 7, "log.md must contain a level-one title"),
-        rows(dates.where("not shaped"), 8, F.concat(F.lit("log date heading must use YYYY-MM-DD: "), "text")),
-        rows(dates.where("shaped and day is null"), 8, F.concat(F.lit("log date heading is not a real date: "), "text")),
-        rows(unsorted, 9, "log date groups must be ordered newest first"),
-    ]
+    dates = F.transform(F.filter("headings", lambda h: h["level"] == 2), lambda h: h["text"])
+    days = F.filter(F.transform(dates, day), lambda d: d.isNotNull())
+    once = F.array(
+        rule(1, concept & failed, F.col("error")),
+        rule(2, concept & ~failed & (F.col("concept_type") == ""), "frontmatter must contain a non-empty string type"),
+        rule(3, F.col("is_reserved") & failed & ~kept, F.col("error")),
+        rule(4, index & failed, F.col("error")),
+        rule(4, index & ~failed & front & ~root, "only the bundle-root index.md may contain frontmatter"),
+        rule(4, index & ~failed & front & root & extra, "root index.md frontmatter may contain only okf_version"),
+        rule(5, index & ~failed & ~has_title(), "index.md must contain at least one level-one section"),
+        rule(6, log & failed, F.col("error")),
+        rule(6, log & ~failed & front, "log.md must not contain frontmatter"),
+        rule(7, log & ~failed & ~has_title(), "log.md must contain a level-one title"),
+        rule(9, log & ~failed & (days != F.reverse(F.array_sort(days))), "log date groups must be ordered newest first"),
+    )
+    shapeless = F.transform(F.filter(dates, lambda t: ~t.rlike(DATE)), lambda t: said(8, F.concat(F.lit("log date heading must use YYYY-MM-DD: "), t)))
+    unreal = F.transform(F.filter(dates, lambda t: t.rlike(DATE) & day(t).isNull()), lambda t: said(8, F.concat(F.lit("log date heading is not a real date: "), t)))
+    each = F.when(log & ~failed, F.concat(shapeless, unreal)).otherwise(F.array_compact(F.array(rule(8, F.lit(False), ""))))
+    return parsed.select(F.explode(F.concat(F.array_compact(once), each)).alias("d")).select("d.*")
 
 
 def broken_links(links: DataFrame) -> DataFrame:
@@ -100,4 +91,4 @@ def missing_specs(types: DataFrame, known: DataFrame, template: str, normative:
 
 
 def all_rules(parsed: DataFrame, links: DataFrame) -> DataFrame:
-    return union([unreadable(parsed), untyped(parsed), reserved_unreadable(parsed), *index_rules(parsed), *log_rules(parsed), broken_links(links)])
+    return document_rules(parsed).unionByName(broken_links(links))

@@ -86,7 +86,7 @@ def frontmatter_errors(spark, sf):
     made = part.select("p_partkey", *document(path("part", "p_partkey"), {"type": kind, "title": F.col("p_name")}, F.lit("body\n")))
     made = made.withColumn("content", F.when(F.col("p_partkey") % 7 == 0, F.expr("substring(content, 2)")).otherwise(F.col("content"))).drop("p_partkey")
     parsed = parse_documents(made)
-    return rules.unreadable(parsed).unionByName(rules.untyped(parsed)).select("path", "code", "severity", "message")
+    return rules.document_rules(parsed).select("path", "code", "severity", "message")
 
 
 _LOGS = "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'someday' WHEN o_orderkey % 17 = 0 THEN '2020-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS h FROM orders"
@@ -113,7 +113,7 @@ def reserved_rules(spark, sf):
     body = F.concat(F.when(F.col("r_regionkey") % 3 == 0, "---\na: b\n---\n").otherwise(""), F.when(F.col("r_regionkey") % 2 == 0, "## ").otherwise("# "), "r_name")
     index = region.select(F.concat(F.lit("region/"), F.col("r_regionkey").cast("string"), F.lit("/index.md")).alias("path"), body.alias("content"))
     parsed = parse_documents(logs.union(index))
-    return rules.union([*rules.index_rules(parsed), *rules.log_rules(parsed)]).select("code", "path", "message")
+    return rules.document_rules(parsed).select("code", "path", "message")
 
 
 @query("SELECT 'nation/' || n_nationkey || '.md' AS path, 1::INTEGER AS level, n_name AS text FROM nation UNION ALL SELECT 'nation/' || n_nationkey || '.md', 2::INTEGER, 'of ' || n_regionkey FROM nation")
