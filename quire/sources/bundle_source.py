@@ -53,7 +53,7 @@ class BundleReader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         root = Path(self.root)
         found = [(i, p) for i, p in enumerate(discover(root, Exclusion.read(root, self.exclude))) if self._wants(p)]
-        n = self.wanted or max(1, min(4096, len(found) // 500 + 1))
+        n = self.wanted or max(1, min(4096, len(found) // 1000 + 1))
         step = max(1, -(-len(found) // n))
         return [Piece(found[i : i + step]) for i in range(0, len(found), step)] or [Piece([])]
 
