@@ -11,13 +11,13 @@ that align only by frequent words are not copies: half of the longer text's
 distinct k-mers have to be in the other.
 
 Equal texts are one class before anything is compared.  The members of a band's
-group are compared with a hub of it, in salted parts, so a group of any size is
-linear in its members.  Those that are not like the hub (a passage that very many
-texts share brings unlike texts together) are grouped anew, by their sketches in
-three further bands besides, and compared with the hubs of these groups, and so on;
-what several such steps leave together is compared with ever more hubs until each
-member is like one or is one.  So no step makes pairs within a group, and a link
-between members that are like different hubs is found in another band.
+group are compared with a hub of it, in salted parts, so a group of copies is
+linear in its members.  A passage that very many texts share brings unlike texts
+together: where links don't connect all members of a group, all of them are
+compared with each other, in pairs of tiles, and aligned unless they are connected
+already or their counts of words show that they can't be copies.  So all copies
+that share a sketch end in one class; such a group takes time that grows with the
+square of its members.
 
 Nulls and ties: words are lower-cased (A-Z) runs of characters other than space
 and tab to carriage return.  Rows without words, or without an id, are never
@@ -28,6 +28,7 @@ rows that repeat an id and text are one member, all are returned.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -46,7 +47,8 @@ SAMPLED = 3
 BANDS = 16
 SIMILARITY = 0.8
 PART = 256
-LEVELS = 4
+TILE = 1024  #: texts of a tile
+TILE_WORDS = 1 << 20
 _A = R.mix(np.arange(1, 2 * BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = X.checkpoint(X.arrow(rows).mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
     classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
-    links = _rounds(rows, classes, similarity)
+    links = _links(rows, classes, similarity)
     degree = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = degree.join(classes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
     member = components(links)
@@ -286,47 +288,83 @@ def _hubs(members: DataFrame) -> DataFrame:
     return members.join(tied, "g")
 
 
-def _rounds(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the verified links between class nodes."""
+def _links(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: verified links between class nodes, enough to connect all that share a sketch and are copies."""
     band = classes.select("node", "size", F.posexplode("bands").alias("at", "sketch"))
-    groups = X.checkpoint(_hubs(band.select(F.xxhash64("at", "sketch").alias("g"), "at", "node", "size")))
+    groups = X.checkpoint(_hubs(band.select(F.xxhash64("at", "sketch").alias("g"), "node", "size")))
     wanted = classes.join(groups.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("id"), "node", "key")
     texts = X.checkpoint(_words(rows.join(wanted, "id")))
-    found: list[DataFrame] = []
-    level = 0
-    while True:
-        edges = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
-        done = X.checkpoint(_verify(texts, edges, similarity))
-        found.append(done)
-        unlike = groups.where("node <> hub").join(done.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
-        rest = X.checkpoint(unlike.select("g", "at", "node", "size"))
-        level += 1
-        if level > LEVELS:
-            break
-        known = rest.join(classes.select("node", "bands"), "node")
-        steps = F.explode(F.array(*[F.lit(3 * (level - 1) + j) for j in (1, 2, 3)]))
-        other = known.withColumn("step", steps).withColumn("sketch", F.element_at("bands", ((F.col("at") + F.col("step")) % BANDS + 1).cast("int")))
-        groups = X.checkpoint(_hubs(other.select(F.xxhash64("g", "step", "sketch").alias("g"), "at", "node", "size")))
-        if groups.isEmpty():
-            break
-    hubs = 1
-    while level > LEVELS:
-        rest = X.checkpoint(_hubs(rest).select("g", "at", "node", "size"))
-        if rest.isEmpty():
-            break
-        hubs *= 16
-        # up to so many hubs of each group, whatever its size: the least of each of so many shares
-        chosen = X.checkpoint(rest.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(hubs))).agg(F.min(F.struct("node", "size")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size")))
-        pairs = X.checkpoint(rest.join(chosen, "g").where("node <> hub"))
-        edges = pairs.select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
-        done = X.checkpoint(_verify(texts, edges, similarity))
-        found.append(done)
-        like = pairs.join(done.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_semi").select("g", "node")
-        rest = X.checkpoint(rest.join(like.union(chosen.select("g", F.col("hub").alias("node"))), ["g", "node"], "left_anti"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return X.checkpoint(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
+    found = X.checkpoint(_verify(texts, edges, similarity))
+    # all members were compared with the hub; the others of a group have to be compared unless links connect them already
+    label = components(found).withColumnRenamed("component", "label")
+    others = groups.where("node <> hub").select("g", "node", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = others.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
+    others = X.checkpoint(others.join(mixed, "g", "left_semi"))
+    if not others.isEmpty():
+        found = found.union(_compare_all(texts, others, similarity))
+    return X.checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _compare_all(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """members: g, node, size, label (equal for what is connected). a, b: links that connect all copies within a group.
+
+    A group is cut into tiles of texts of about one length, and tiles into pairs unless their lengths are too far apart."""
+    ratio = -math.log(min(max(similarity, 1e-6), 1 - 1e-6))
+    members = members.withColumn("s", F.floor(F.log("size") / F.lit(ratio) + F.lit(1e-6)))
+    parts = members.groupBy("g", "s").agg(F.ceil(F.greatest(F.count("*") / F.lit(TILE), F.sum("size") / F.lit(TILE_WORDS))).alias("parts"))
+    members = members.join(parts, ["g", "s"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    tiles = X.checkpoint(members.groupBy("g", "s", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("label").alias("lo"), F.max("label").alias("hi")))
+    x = tiles.withColumn("s2", F.explode(F.array(F.col("s"), F.col("s") + 1)))
+    y = tiles.select("g", F.col("s").alias("s2"), F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("words").alias("words2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = x.join(y, ["g", "s2"]).where("s < s2 or part <= part2").where("least(lo, lo2) <> greatest(hi, hi2)")
+    both = X.checkpoint(both.withColumn("pair", F.xxhash64("g", "s", "part", "s2", "part2")).withColumn("one", (F.col("s") == F.col("s2")) & (F.col("part") == F.col("part2"))))
+    held = both.agg(F.sum(F.col("n") + F.col("n2")), F.sum(F.col("words") + F.col("words2"))).first()
+    if not held[0]:
+        return texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    buckets = max(1, math.ceil(held[0] / (4 * TILE)), math.ceil(held[1] / (2 * TILE_WORDS)))
+    sides = both.select("pair", "g", "s", "part", F.lit(True).alias("first")).union(both.where("not one").select("pair", "g", F.col("s2").alias("s"), F.col("part2").alias("part"), F.lit(False).alias("first")))
+    dealt = sides.join(members.select("g", "s", "part", "node", "label"), ["g", "s", "part"]).join(texts, "node")
+    dealt = dealt.select(F.pmod("pair", F.lit(buckets)).alias("bucket"), "pair", "first", "node", "label", "words")
+
+    def run(table: pa.Table) -> pa.Table:
+        pair, first, node, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "first", "node", "label"))
+        words = [np.frombuffer(w.as_py(), "<u4").astype(U) for w in table.column("words")]
+        order = np.lexsort([~first, pair])
+        cut = np.append(np.flatnonzero(np.append(True, np.diff(pair[order]) != 0)), len(order))
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = order[i:j]
+            made = connect([words[k] for k in own], label[own], int(first[own].sum()), similarity)
+            out.append(node[own][made])
+        made = np.concatenate(out)
+        return pa.table({"a": pa.array(made[:, 0], pa.int64()), "b": pa.array(made[:, 1], pa.int64())})
+
+    return X.checkpoint(dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct())
+
+
+def connect(texts: list[np.ndarray], label: np.ndarray, first: int, similarity: float) -> np.ndarray:
+    """Places (i, j) of copies among ``texts`` that connect what is not connected by ``label``: of the first so many with the others, or, if there are no others, with each other.
+
+    An edit takes one word and brings one, at most, so texts whose counts of words (by 8 bits of their hashes) differ more than edits may are not aligned."""
+    size = np.array([len(t) for t in texts])
+    counts = np.stack([np.bincount((t & U(255)).astype(np.int64), minlength=256) for t in texts]).astype(np.int32)
+    label = label.copy()
+    out = []
+    for i in range(first):
+        begin = i + 1 if first == len(texts) else first
+        longest = np.maximum(size[begin:], size[i])
+        may = (label[begin:] != label[i]) & (np.minimum(size[begin:], size[i]) >= similarity * longest - 1e-9)
+        near = np.flatnonzero(may)
+        if not len(near):
+            continue
+        more = np.maximum(counts[begin + near] - counts[i], 0).sum(axis=1)
+        edits = np.maximum(more, more - size[begin + near] + size[i])
+        for j in (begin + near[edits <= (1 - similarity) * longest[near] + 1e-9]).tolist():
+            if label[j] != label[i] and alike(texts[i], texts[j], similarity):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _words(wanted: DataFrame) -> DataFrame:

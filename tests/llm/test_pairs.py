@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import components, embedding_dedup, order_minhash, string_tiling
@@ -82,6 +83,29 @@ def test_members_of_one_band_that_differ(spark):
     assert all(found[i] == i for i in range(40)) and all(found[100 + i] == i for i in range(10))
 
 
+def test_copies_that_share_any_band_are_one_class(spark):
+    """Whether or not they are like the hub of their group, or share further bands."""
+    rnd = random.Random(9)
+    texts = []
+    for f in range(250):
+        now = [f"f{f}w{i}" for i in range(100)]
+        for c in range(5):  # each is like the next only
+            texts.append(" ".join(now))
+            now[15 * c : 15 * c + 15] = [f"f{f}c{c}w{i}" for i in range(15)]
+    rnd.shuffle(texts)
+    found = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    _, t, first, _, _ = order_minhash.text_words(pa.array(texts))
+    bands = order_minhash.sketches(t, first)
+    groups = {}
+    for i in range(len(texts)):
+        for at, sketch in enumerate(bands[i].tolist()):
+            groups.setdefault((at, sketch), []).append(i)
+    words = [t[first[i] : first[i + 1]] for i in range(len(texts))]
+    pairs = {(i, j) for g in groups.values() for i in g for j in g if i < j}
+    like = [(i, j) for i, j in pairs if order_minhash.alike(words[i], words[j], order_minhash.SIMILARITY)]
+    assert len(like) > 500 and [(i, j) for i, j in like if found[i] != found[j]] == []
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 480)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
