@@ -106,6 +106,38 @@ def test_copies_that_share_any_band_are_one_class(spark):
     assert len(like) > 500 and [(i, j) for i, j in like if found[i] != found[j]] == []
 
 
+def _scattered(rate, n, seed, size=200):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        a = rng.integers(1, 2**62, size).astype(np.uint64)
+        b = a.copy()
+        at = rng.choice(size, round(rate * size), replace=False)
+        b[at] = rng.integers(1, 2**62, len(at)).astype(np.uint64)
+        yield a, b
+
+
+@pytest.mark.parametrize("rate,least", [(0.1, 0.99), (0.15, 0.97), (0.2, 0.95)])
+def test_near_copies_down_to_the_threshold_meet(rate, least):
+    pairs = list(_scattered(rate, 400, 11))
+    t = np.concatenate([x for p in pairs for x in p])
+    found = order_minhash.sketches(t, np.arange(0, len(t) + 1, 200))
+    assert (found[::2] == found[1::2]).any(axis=1).mean() >= least
+    assert all(order_minhash.alike(a, b, 0.8) for a, b in pairs)
+    assert not any(order_minhash.alike(a, b, 0.8) for a, b in _scattered(0.21, 50, 12))
+
+
+def test_alike_is_the_edit_similarity():
+    rnd = random.Random(13)
+    for _ in range(300):
+        a = [rnd.randint(0, 40) for _ in range(rnd.randint(1, 40))]
+        b = [x for x in a if rnd.random() > 0.08] or [1]
+        for _ in range(rnd.randint(0, 6)):
+            b[rnd.randrange(len(b))] = rnd.randint(0, 40)
+        longest = max(len(a), len(b))
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        assert order_minhash.alike(x, y, 0.8) == (_edits(a, b) <= int(0.2 * longest + 1e-9)), (a, b)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 480)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
