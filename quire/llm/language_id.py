@@ -6,8 +6,11 @@ it in any language (so that a text that mixes languages is not): the limits are
 calibrated on a second sample, never on the texts that are judged.
 
 The models learn from a bounded sample of labelled texts (``per_language`` texts
-of each language, of ``longest`` characters at most, by the hash of the id; at
-most ``languages`` languages).  Texts that are judged are read whole.
+of each label that occurs, the first ``longest`` characters of each, by the hash
+of id and text; texts of under ``SHORT`` characters only where a label has no
+longer ones).  Each label's model is learned on a worker.  Models that are too many
+for a worker's memory go to the workers in blocks, a pass over the texts for each.
+Texts that are judged are read whole.
 
 Nulls: a text that is null or has no letter is ``und`` and rejected; a row whose
 label is null teaches nothing; a null id counts as an empty one.  With nothing to
@@ -17,8 +20,10 @@ learn from, every text is ``und``.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,73 +35,119 @@ from .charlm import CharModel, kneser_ney, log_probabilities
 ORDER = 4
 PER_LANGUAGE = 400
 LONGEST = 20_000
-LANGUAGES = 64
+SHORT = 20
+FEW = 100_000  #: labels whose counts are broadcast
+BLOCK_BYTES = 128 << 20  #: of models that a worker holds at once
 MARGIN = 1.0  #: the least that a limit lies above the middle of held-out texts, in nats a character
 UNKNOWN = "und"
 
 
 class LanguageModel:
-    def __init__(self, names: list[str], models: list[CharModel], limits: list[tuple[float, float, float]]):
-        self.names, self.models, self.limits = names, models, limits
-
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(language, score, cross-entropy, rejected) of each text."""
-        clean = [(t or "").lower() for t in texts]
-        some = [any(map(str.isalpha, t[:200])) or any(map(str.isalpha, t)) for t in clean]
-        total, size = log_probabilities(self.models, [t if s else "" for t, s in zip(clean, some)])
-        if not self.models:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cross = -total / np.maximum(size, 1)[:, None]
-        best = cross.argmin(axis=1)
-        low = cross[np.arange(len(best)), best]
-        odds = np.exp(-(cross - low[:, None]) * np.minimum(size, 100)[:, None])
-        score = np.where(some, 1 / odds.sum(axis=1), 0.0)
-        limit = max(middle + spread for middle, spread, _ in self.limits)
-        short = max(x for _, _, x in self.limits)
-        rejected = ~np.array(some, bool) | (low > limit + short / np.sqrt(np.maximum(size, 1)))
-        return [self.names[b] if s else UNKNOWN for b, s in zip(best, some)], score, low, rejected
-
-
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, longest: int = LONGEST, languages: int = LANGUAGES) -> LanguageModel:
-    rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and length(t) between 20 and %d" % longest)
-    count = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
-    if not count:
-        return LanguageModel([], [], [])
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, 2 * per_language / n))) for k, n in count.items()], F.lit(0.0))
-    dice = F.pmod(F.xxhash64(F.coalesce("i", F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    held = rows.withColumn("d", dice).where(F.col("d") < share).groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "i", "t"))), 1, 2 * per_language).alias("r")).collect()
-    names, models, spare = [], [], []
-    for row in sorted(held, key=lambda r: r["l"]):
-        texts = [x["t"].lower() for x in row["r"]]
-        names.append(row["l"])
-        models.append(kneser_ney(texts[: (len(texts) + 1) // 2], ORDER))
-        spare.append(texts[(len(texts) + 1) // 2 :] or texts)
-    limits = []
-    for k, texts in enumerate(spare):  # held-out texts: their usual cross-entropy, its spread, and what shortness adds
-        total, size = log_probabilities([models[k]], texts)
+    """names and limits of all languages; ``blocks`` cuts the names into consecutive blocks, ``load`` fetches the models of one."""
+
+    def __init__(self, names: list[str], limits: list[tuple[float, float, float]], blocks: list[tuple[int, int]], load):
+        self.names, self.limits, self.blocks, self.load = names, limits, blocks, load
+
+
+def compare(names: list[str], models: list[CharModel], texts: list[str | None], before=None):
+    """(language, its cross-entropy, sum of the languages' odds against it, has the text letters, characters) of each text, ``before``: of the languages that were compared before (the first three)."""
+    clean = [(t or "").lower() for t in texts]
+    some = np.array([any(map(str.isalpha, t[:200])) or any(map(str.isalpha, t)) for t in clean], bool)
+    total, size = log_probabilities(models, [t if s else "" for t, s in zip(clean, some)])
+    if not models:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), some, size
+    cross = -total / np.maximum(size, 1)[:, None]
+    best = cross.argmin(axis=1)
+    low = cross[np.arange(len(best)), best]
+    reach = np.minimum(size, 100)
+    odds = np.exp(-(cross - low[:, None]) * reach[:, None]).sum(axis=1)
+    pred = [names[b] if s else UNKNOWN for b, s in zip(best, some)]
+    if before is not None:
+        least = np.minimum(low, before[1])
+        odds = odds * np.exp(-(low - least) * reach) + before[2] * np.exp(-(before[1] - least) * reach)
+        pred = [new if x < y else old for new, old, x, y in zip(pred, before[0], low, before[1])]
+        low = least
+    return pred, low, odds, some, size
+
+
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> LanguageModel:
+    rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col).cast("string"), 1, longest).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t <> '' and l is not null")
+    rows = rows.withColumn("d", F.pmod(F.xxhash64(F.coalesce("i", F.lit("")), "t", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)).withColumn("long", F.length("t") >= SHORT)
+    # a row per label: whether it has texts that are not short, how many, and the least hash of those
+    number = rows.groupBy("l", "long").agg(F.count("*").alias("n"), F.min("d").alias("least")).groupBy("l").agg(F.max(F.struct("long", "n", "least")).alias("k")).select("l", "k.*")
+    number = X.checkpoint(number)
+    few = number.limit(FEW + 1).count() <= FEW
+    share = rows.join(F.broadcast(number) if few else number, ["l", "long"]).where((F.col("d") < F.lit(2 * per_language) / F.col("n")) | (F.col("d") <= F.col("least")))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(i=pdf["i"].fillna("")).sort_values(["d", "i", "t"])[: 2 * per_language]
+        texts = [t.lower() for t in pdf["t"]]
+        model = kneser_ney(texts[: (len(texts) + 1) // 2], ORDER)
+        # held-out texts: their usual cross-entropy, its spread, and what shortness adds
+        total, size = log_probabilities([model], texts[(len(texts) + 1) // 2 :] or texts)
         cross = -total[:, 0] / np.maximum(size, 1)
         middle = float(np.median(cross))
-        limits.append((middle, max(float(cross.max()) - middle, 6 * float(np.std(cross)), MARGIN), 8 * math.log(2)))
-    return LanguageModel(names, models, limits)
+        data = pickle.dumps(model)
+        return pd.DataFrame({"l": pdf["l"].iloc[:1].tolist(), "size": [len(data)], "middle": [middle], "spread": [max(float(cross.max()) - middle, 6 * float(np.std(cross)), MARGIN)], "data": [data]})
+
+    learned = X.checkpoint(share.select("l", "d", "i", "t").distinct().groupBy("l").applyInPandas(learn, "l string, size long, middle double, spread double, data binary"))
+    known = sorted(learned.select("l", "size", "middle", "spread").collect(), key=lambda r: r["l"])
+    names = [r["l"] for r in known]
+    blocks, begin, held = [], 0, 0
+    for k, r in enumerate(known):
+        if k > begin and held + r["size"] > block_bytes:
+            blocks.append((begin, k))
+            begin, held = k, 0
+        held += r["size"]
+    blocks.append((begin, len(known)))
+
+    def load(block: tuple[int, int]) -> list[CharModel]:
+        own = names[block[0] : block[1]]
+        if not own:
+            return []
+        got = learned.where(F.col("l").between(own[0], own[-1])).select("l", "data").collect()
+        data = {r["l"]: r["data"] for r in got}
+        return [pickle.loads(data[n]) for n in own]
+
+    return LanguageModel(names, [(r["middle"], r["spread"], 8 * math.log(2)) for r in known], blocks, load)
 
 
 def classify(df: DataFrame, model: LanguageModel, text_col: str, out: str = "lang_") -> DataFrame:
-    """All columns, and ``out`` + pred, score, cross_entropy, rejected. The model, a few megabytes by the bounds of its sample, goes to every worker once."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """All columns, and ``out`` + pred, score, cross_entropy, rejected. A block of models goes to every worker once."""
     fields = df.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     at = [f.name for f in fields].index(text_col)
-    more = [T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     inner = df.toDF(*names)
-    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, inner.schema.fields)] + more)
-
-    def run(batches):
-        for whole in batches:
-            for b in X.slices(whole, names[at]):
-                pred, score, cross, rejected = shared.value.judge(b.column(names[at]).to_pylist())
-                yield pa.RecordBatch.from_pydict({n: b.column(n) for n in names} | {"pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "cross": pa.array(cross, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
-
-    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected")
+    own = [T.StructField(n, f.dataType, True) for n, f in zip(names, inner.schema.fields)]
+    state = [T.StructField("pred", T.StringType()), T.StructField("cross", T.DoubleType()), T.StructField("odds", T.DoubleType())]
+    more = [T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    limit = max((middle + spread for middle, spread, _ in model.limits), default=0.0)
+    short = max((x for _, _, x in model.limits), default=0.0)
+    nothing = not model.names
+
+    def step(shared, first: bool, last: bool):
+        def run(batches):
+            for whole in batches:
+                for b in X.slices(whole, names[at]):
+                    before = None if first else (b.column("pred").to_pylist(), b.column("cross").to_numpy(), b.column("odds").to_numpy())
+                    pred, low, odds, some, size = compare(*shared.value, b.column(names[at]).to_pylist(), before)
+                    kept = {n: b.column(n) for n in names} | {"pred": pa.array(pred, pa.string())}
+                    if not last:
+                        yield pa.RecordBatch.from_pydict(kept | {"cross": pa.array(low, pa.float64()), "odds": pa.array(odds, pa.float64())})
+                        continue
+                    score = np.where(some, 1 / np.maximum(odds, 1e-300), 0.0) if not nothing else np.zeros(len(pred))
+                    rejected = ~some | (low > limit + short / np.sqrt(np.maximum(size, 1))) | nothing
+                    yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(score, pa.float64()), "cross": pa.array(low, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
+
+        return run
+
+    for k, block in enumerate(model.blocks):
+        shared = df.sparkSession.sparkContext.broadcast((model.names[block[0] : block[1]], model.load(block)))
+        last = k == len(model.blocks) - 1
+        inner = X.arrow(inner).mapInArrow(step(shared, k == 0, last), T.StructType(own + (more if last else state)))
+        if not last:  # so that the next block's workers don't hold this one's models too
+            inner = X.checkpoint(inner)
+    return inner.toDF(*[f.name for f in fields], f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected")
 
 
 def fold(id_col: str, of: int):

@@ -98,6 +98,28 @@ def test_language_id(spark):
     assert language_id.classify(odd, nothing, "text").where("lang_pred <> 'und'").isEmpty()
 
 
+def test_every_label_is_learned(spark):
+    """However many there are, and where all texts of one are very long or short; in blocks as at once."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 800)]
+    rnd = random.Random(3)
+    rows = []
+    for k in range(80):
+        own = letters[10 * k : 10 * k + 10]
+        size = 25_000 if k == 78 else 12 if k == 79 else 60
+        rows += [(10 * k + j, "".join(rnd.choice(own) for _ in range(size)), f"l{k:02d}") for j in range(2 if k == 78 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    assert len(model.names) == 80 and len(model.blocks) == 1
+    once = {r["doc_id"]: r for r in language_id.classify(docs, model, "text").collect()}
+    assert all(once[i]["lang_pred"] == lang for i, _, lang in rows)
+    several = language_id.train(docs, "doc_id", "text", "lang", block_bytes=100_000)
+    assert 1 < len(several.blocks) < 80
+    for r in language_id.classify(docs, several, "text").collect():
+        one = once[r["doc_id"]]
+        assert (r["lang_pred"], r["lang_rejected"]) == (one["lang_pred"], one["lang_rejected"])
+        assert math.isclose(r["lang_score"], one["lang_score"], rel_tol=1e-9) and math.isclose(r["lang_cross_entropy"], one["lang_cross_entropy"], rel_tol=1e-9)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.com/en/x"), (2, "https://www.example.com/en/7?q"), (3, "http://example.net/de/8#a"), (4, "http://notcom/en/"), (5, None), (6, "nothing"), (7, "x://b.org/es/"), (8, "http://a.net/de/1"), (9, "http://com"), (9, "http://com"), (10, "http://EXAMPLE.com/EN/7"), (11, "://"), (12, "http://c.net/q" + "z" * 5000)]
     rows += [(100 + i, f"http://s{i}.com/en/{i}") for i in range(40)] + [(200 + i, f"http://s{i}.net/de/{i}") for i in range(40)]
