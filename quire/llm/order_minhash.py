@@ -48,6 +48,7 @@ BANDS = 32
 RUN = 5  #: words of the runs that an alignment goes through
 SIMILARITY = 0.8
 PART = 256
+SPAN = 128  #: rows of a diagonal that an alignment holds at once
 TILE = 1024  #: texts of a tile
 TILE_WORDS = 1 << 20
 _A = R.mix(np.arange(1, 2 * BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -214,15 +215,22 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float | None:
     if max(len(a), len(b)) - shared > most:
         return None
     n, m = len(a), len(b)
-    stops: dict[int, list[int]] = {}
+    stops: dict[int, tuple[int, int, list[int]]] = {}  # of each diagonal, some rows from .. to and those of them that differ
 
     def slide(i: int, k: int) -> int:
         """From row i on diagonal k (column i + k), the first row that differs."""
-        if (s := stops.get(k)) is None:
-            lo, hi = max(0, -k), min(n, m - k)
-            s = stops[k] = (np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist()
-            s.append(hi)
-        return s[bisect_left(s, i)] if i <= s[-1] else i
+        hi = min(n, m - k)
+        while i < hi:
+            begin, end, s = stops.get(k, (0, 0, []))
+            if not begin <= i < end:
+                begin, end = i, min(hi, i + SPAN)
+                s = (np.flatnonzero(a[begin:end] != b[begin + k : end + k]) + begin).tolist()
+                stops[k] = begin, end, s
+            at = bisect_left(s, i)
+            if at < len(s):
+                return s[at]
+            i = end
+        return i
 
     goal = m - n
     reach = {0: slide(0, 0)}
