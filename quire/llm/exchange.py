@@ -6,6 +6,8 @@ word occur?") are asked by every chunk at once: a chunk scatters one blob per
 bucket of the key space, each bucket answers all chunks, and the answers are
 brought back to their chunk.  Rows shuffled are chunks x buckets, however many
 keys there are; a key that is in a third of all rows is one entry per chunk.
+Beyond 64 GB of text chunks and buckets grow with the root of the text, so that
+their product grows with the text only, up to 64 MB and 384 MB.
 
 Chunks are checkpointed into the shared folder before they are used twice, so
 that a lost executor cannot change which rows a chunk holds.
@@ -13,7 +15,7 @@ that a lost executor cannot change which rows a chunk holds.
 
 from __future__ import annotations
 
-import gc
+import functools
 import math
 import tempfile
 
@@ -25,49 +27,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+BUCKET_BYTES = 12_000_000
+GROWS_FROM = 64 << 30  #: bytes of text above which chunks and buckets grow with their root
+MOST = 32  #: times: what a worker of four gigabytes holds
 BATCH_BYTES = 8_000_000
 CHUNK_SCHEMA = "chunk_id long, kind int, bucket int, n_bytes long, data binary"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    """Cut the lineage through the folder the cluster names in spark.checkpoint.dir. Where it names none: one of our own, if driver and workers are one process on one machine, else an error."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let shuffle files go that nothing refers to any more: the driver's JVM only finds out when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def arrow(df: DataFrame) -> DataFrame:
     """``df``, with batches to Python workers bounded in bytes: ten thousand rows of long texts don't fit a small worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
-def pack(data: bytes | np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
+@functools.lru_cache(8)
+def _dictionary(like: bytes):
+    made = zstandard.ZstdCompressionDict(like, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=made), zstandard.ZstdDecompressor(dict_data=made)
+
+
+def pack(data: bytes | np.ndarray, level: int = 1, like: bytes = b"") -> bytes:
+    """like: text that the data resembles; whoever unpacks it has to know it. The level is then 3."""
+    data = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
+    return (_dictionary(like)[0] if like else zstandard.ZstdCompressor(level=level)).compress(data)
+
 
+def unpack(data: bytes, like: bytes = b"") -> bytes:
+    return (_dictionary(like)[1] if like else zstandard.ZstdDecompressor()).decompress(data)
 
-def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+
+def planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
+
+
+def whole(raw: np.ndarray, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
 
 
 def pack_planes(a: np.ndarray) -> bytes:
     """Integers as byte planes: the high bytes of small or sorted numbers then compress to nothing."""
-    a = np.ascontiguousarray(a)
-    return pack(a.view(np.uint8).reshape(len(a), -1).T.copy()) if len(a) else b""
+    return pack(planes(a)) if len(a) else b""
 
 
 def unpack_planes(data: bytes, dtype: str) -> np.ndarray:
-    if not data:
-        return np.zeros(0, dtype)
-    raw = np.frombuffer(unpack(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+    return whole(np.frombuffer(unpack(data), np.uint8), dtype) if data else np.zeros(0, dtype)
 
 
 def batch_bytes(batch: pa.RecordBatch) -> bytes:
@@ -100,8 +113,13 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
         begin = end
 
 
-def make_chunks(df: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` as chunks (kind 0), checkpointed."""
+def times(n_bytes: int) -> int:
+    """How many times their least size chunks and buckets have."""
+    return max(1, min(MOST, math.isqrt(n_bytes // GROWS_FROM)))
+
+
+def make_chunks(df: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
+    """All rows and columns of ``df`` as chunks (kind 0), checkpointed; how many, and the bytes of text in them."""
 
     def pieces(batches):
         n = 0
@@ -114,7 +132,7 @@ def make_chunks(df: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_pydict({"chunk_id": pa.array([base + n], pa.int64()), "kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([batch_bytes(whole)], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, CHUNK_BYTES):
                 more = int(text_buffer(part.column(text))[1][-1])
                 if held and size + more > CHUNK_BYTES:
                     yield out()
@@ -124,7 +142,33 @@ def make_chunks(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return checkpoint(arrow(df).mapInArrow(pieces, CHUNK_SCHEMA))
+    chunks = checkpoint(arrow(df).mapInArrow(pieces, CHUNK_SCHEMA))
+    n_chunks, n_bytes = measure(chunks)
+    limit = times(n_bytes) * CHUNK_BYTES
+    if limit == CHUNK_BYTES:
+        return chunks, n_chunks, n_bytes
+
+    def joined(batches):
+        held, size, first = [], 0, None
+
+        def out():
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({"chunk_id": pa.array([first], pa.int64()), "kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([batch_bytes(batch)], pa.binary())})
+
+        for b in batches:
+            for chunk_id, more, data in zip(b.column("chunk_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("data")):
+                if held and size + more > limit:
+                    yield out()
+                    held, size = [], 0
+                if not held:
+                    first = chunk_id
+                held.append(bytes_batch(data.as_py()))
+                size += more
+        if held:
+            yield out()
+
+    chunks = checkpoint(arrow(chunks).mapInArrow(joined, CHUNK_SCHEMA))
+    return chunks, measure(chunks)[0], n_bytes
 
 
 def measure(chunks: DataFrame) -> tuple[int, int]:
@@ -133,9 +177,9 @@ def measure(chunks: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
-def bucket_count(n_bytes: int, each: int = 12_000_000, least: int = 48) -> int:
-    """Buckets grow with the text, so that what one bucket holds does not."""
-    return max(least, math.ceil(n_bytes / each))
+def bucket_count(n_bytes: int, least: int = 48) -> int:
+    """Buckets grow with the text, so that what one bucket holds is bounded."""
+    return max(least, math.ceil(n_bytes / (BUCKET_BYTES * times(n_bytes))))
 
 
 def row_batch(chunk_id, kind: int, buckets, datas) -> pa.RecordBatch:
@@ -178,7 +222,6 @@ def absorb_kinds(chunks: DataFrame, replies: list[DataFrame], use, schema) -> Da
     """As absorb, for several rounds of answers; got: {(kind, bucket): blob}, the first round's kind being 2."""
 
     nothing = _empty(schema)
-    release(chunks.sparkSession)
 
     def run(own: pa.Table, said: pa.Table) -> pa.Table:
         got = {(k, b): d.as_py() for k, b, d in zip(said.column("kind").to_pylist(), said.column("bucket").to_pylist(), said.column("data"))}

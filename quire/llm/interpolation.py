@@ -189,8 +189,7 @@ def score_texts(df: DataFrame, train: Column, text_col: str = "text", out: str =
     names = [f"c{i}" for i in range(len(fields))]
     text = names[[f.name for f in fields].index(text_col)]
     inner = df.withColumn("__train", F.coalesce(train, F.lit(False))).toDF(*names, "learn").withColumn(text, F.col(text).cast("string"))
-    chunks = X.make_chunks(inner, text)
-    _, n_bytes = X.measure(chunks)
+    chunks, _, n_bytes = X.make_chunks(inner, text)
     buckets, bits = X.bucket_count(n_bytes), min(64, math.ceil(math.log2(max(n_bytes, 2))) + 16)
     counts = X.checkpoint(_answer(X.scatter(chunks, _ask(text, "learn", buckets, bits))))
     tokens = distinct = 0

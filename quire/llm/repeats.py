@@ -7,20 +7,24 @@ offsets.  Neighbouring windows share anchors: a *run* is a maximal stretch of
 windows with one anchor, and only runs, about one for ``width - seed`` / 2
 tokens, are ever moved:
 
-1. every chunk asks how many chunks hold each anchor's hash (sorted, truncated
-   to a size that leaves few false hits; those only cost time);
-2. runs whose anchor recurs are sent as suffixes with their context to the
-   bucket of their leading tokens, equal ones of a chunk once;
+1. a window holds its anchor and, on one side of it at least, half of its other
+   tokens: this *extension* of the anchor, to the left if there is room, else to
+   the right, is the window's key.  Every chunk asks how many chunks hold each
+   key's hash (sorted, truncated to a size that leaves few false hits; those only
+   cost time).  Anchors recur by chance in a large corpus, extensions hardly do;
+2. windows whose key recurs are sent, by runs, as suffixes with their context to
+   the bucket of their leading tokens, equal ones of a chunk once;
 3. the bucket sorts the suffixes, and answers per window.
 
-An anchor that very many chunks hold (a common line) would bring all its
-contexts into one bucket; its runs are taken apart into single windows, which are
-dealt by their whole content and counted once per chunk.  So no bucket holds
-more than a bounded number of contexts, and nothing is dropped.
+A key that very many chunks hold (a common line) would bring all its contexts
+into one bucket; its windows are sent one by one, dealt by their whole content and
+counted once per chunk.  So no bucket holds more than a bounded number of
+contexts, and nothing is dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -32,6 +36,7 @@ from . import exchange as X
 HOT_CHUNKS = 64
 SLICE = 1_000_000
 LEAD = 24
+LIKE = 4096  #: bytes of a sampled chunk's text
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 _P = 0x5851F42D4C957F2D
@@ -53,8 +58,9 @@ def _powers(n: int, p: int) -> np.ndarray:
     return out[:n]
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * _MIX[0])
 _P_INVERSE = pow(_P, -1, 1 << 64)
+LONG_WORD = 64  #: words of more eights of bytes are hashed one by one
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
@@ -76,20 +82,21 @@ def words_of(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE):
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each word: a polynomial of its bytes over a running sum, in slices that bound memory."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + 2 * SLICE)))
-        a, b = int(starts[i]), int(ends[j - 1])
+    """A 64-bit identity of each word: its bytes by eights, mixed after each; equally long words of up to eight bytes never share one."""
+    size = ends - starts
+    out = mix(size.astype(U) * _MIX[1] + _MIX[0])
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+    left = np.arange(len(starts))
+    for k in range(LONG_WORD):
+        if not len(left):
+            return out
+        rest = size[left] - 8 * k
         with np.errstate(over="ignore"):
-            power = _powers(b - a + 1, _P)
-            total = np.zeros(b - a + 1, U)
-            np.cumsum(_BYTE[raw[a:b]] * power[:-1], out=total[1:])
-            back = _powers(b - a + 1, _P_INVERSE)
-            s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = mix((total[e] - total[s]) * back[s] + (e - s).astype(U) * _MIX[1])
-        i = j
+            out[left] = mix((out[left] ^ (eights[starts[left] + 8 * k] & _MASK[np.minimum(rest, 8)])) * _MIX[0] + _MIX[2])
+        left = left[rest > 8]
+    for i in left.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -111,7 +118,7 @@ class Repeats:
     width: int
     seed: int
     least: bool
-    hot: int = HOT_CHUNKS  #: an anchor in more chunks is taken apart
+    hot: int = HOT_CHUNKS  #: windows whose key is in more chunks are sent one by one
 
     @property
     def w(self) -> int:
@@ -175,6 +182,26 @@ class Repeats:
             off[i : i + 200_000] = near[first[i : i + 200_000]].argmin(axis=1)
         return first + base, last - first, h[first + off], off
 
+    @property
+    def more(self) -> int:
+        """Tokens of an extension besides the anchor's."""
+        return (self.width - self.seed + 1) // 2
+
+    def keys(self, t: np.ndarray, first: np.ndarray, length: np.ndarray, off: np.ndarray):
+        """Of each run: how many windows are keyed by the extension to the left (the others are by that to the right), and both hashes (where no window needs one, it is not to be used)."""
+        left = np.clip(off - self.more + 1, 0, length)
+        size = self.seed + self.more
+        out = []
+        for tag, shift in ((1, -self.more), (2, 0)):
+            h = np.zeros(len(first), U)
+            use = np.flatnonzero(left > 0 if tag == 1 else left < length)
+            every = np.lib.stride_tricks.sliding_window_view(t, size) if len(t) >= size else None
+            for i in range(0, len(use), 100_000):
+                at = use[i : i + 100_000]
+                h[at] = mix(row_hash(columns(every[first[at] + off[at] + shift])) ^ _MIX[tag])
+            out.append(h)
+        return left, *out
+
     def contexts(self, t: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """A row of ``span`` tokens for each run, zero beyond its last window."""
         if len(t) < self.span:
@@ -262,27 +289,34 @@ def window_rows(rows: np.ndarray, run: np.ndarray, shift: np.ndarray, width: int
     return out
 
 
-# ---- stage 1: which anchors recur
+# ---- stage 1: which keys recur
 
 
 def hash_bits(n_bytes: int) -> int:
-    """Enough for one false hit in about 2 ** 13 anchors."""
+    """Enough for one false hit in about 2 ** 13 keys."""
     return min(64, max(32, math.ceil(math.log2(max(n_bytes, 2))) + 11))
 
 
-def _distinct(h: np.ndarray, bits: int) -> np.ndarray:
-    return np.unique(h >> U(64 - bits))
-
-
 def _bounds(buckets: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // buckets for i in range(1, buckets)], dtype=U)
 
 
-def ask_anchors(spec: Repeats, buckets: int, bits: int, text: str):
+def _run_keys(spec: Repeats, t: np.ndarray, at: np.ndarray, bits: int):
+    """Runs (first, length, off, windows keyed to the left), the sorted keys of a chunk, how often each occurs, and which of them are each run's (left, then right; -1: none)."""
+    first, length, _, off = spec.runs(t, at)
+    left, to_left, to_right = spec.keys(t, first, length, off)
+    has = np.concatenate([left > 0, left < length])
+    keys, of, here = np.unique(np.concatenate([to_left, to_right])[has] >> U(64 - bits), return_inverse=True, return_counts=True)
+    which = np.full(len(has), -1)
+    which[has] = of
+    return first, length, off, left, keys, here, which[: len(first)], which[len(first) :]
+
+
+def ask_keys(spec: Repeats, buckets: int, bits: int, text: str):
     def ask(batch):
         raw, at = X.text_buffer(batch.column(text))
         t, at, _, _ = spec.tokens(raw, at)
-        keys = _distinct(spec.runs(t, at)[2], bits)
+        keys = _run_keys(spec, t, at, bits)[4]
         cut = [0, *np.searchsorted(keys, _bounds(buckets, bits)), len(keys)]
         for i in range(buckets):
             if cut[i + 1] > cut[i]:
@@ -292,7 +326,7 @@ def ask_anchors(spec: Repeats, buckets: int, bits: int, text: str):
     return ask
 
 
-def answer_anchors(spec: Repeats, blobs: list[bytes]) -> list[bytes]:
+def answer_keys(spec: Repeats, blobs: list[bytes]) -> list[bytes]:
     """0: in one chunk, 1: in several, 2: in very many."""
     parts = [np.cumsum(X.unpack_planes(b, "<u8")) for b in blobs]
     every = np.concatenate(parts)
@@ -326,22 +360,24 @@ def suffixes(spec: Repeats, batch, got: dict[int, bytes], bits: int, text: str,
     """The same every time it is called for a chunk, so that answers find their windows again."""
     raw, at = X.text_buffer(batch.column(text))
     t, at, _, _ = spec.tokens(raw, at)
-    first, length, h, off = spec.runs(t, at)
+    first, length, off, left, keys, here, to_left, to_right = _run_keys(spec, t, at, bits)
     if not len(first):
         return None
-    keys, of_key, here = np.unique(h >> U(64 - bits), return_inverse=True, return_counts=True)
     code = np.concatenate([np.frombuffer(X.unpack(got[b]), np.uint8) for b in sorted(got)])
-    code = np.maximum(code, here > 1)[of_key]
-    take = np.flatnonzero(code > 0)
-    if not len(take):
+    code = np.append(np.maximum(code, here > 1), 0)  # the last: no key
+    lc, rc = code[to_left], code[to_right]
+    begin, end = np.where(lc == 1, 0, left), np.where(rc == 1, length, left)  # calm windows of a run stay together
+    calm = np.flatnonzero(end > begin)
+    burst, shift = [], []
+    for some, a, b in ((np.flatnonzero(lc == 2), np.zeros(len(first), np.int64), left), (np.flatnonzero(rc == 2), left, length)):
+        run, j = expand((b - a)[some])
+        burst.append(some[run])
+        shift.append(a[some[run]] + j)
+    single, shift = np.concatenate(burst), np.concatenate(shift)
+    if not len(calm) + len(single):
         return None
-    first, length, off, hot = first[take], length[take], off[take], code[take] == 2
-    burst = np.flatnonzero(hot)
-    run, shift = expand(length[burst])
-    calm = np.flatnonzero(~hot)
-    single = burst[run]
-    first, off = np.concatenate([first[calm], first[single] + shift]), np.concatenate([off[calm], off[single] - shift])
-    length = np.concatenate([length[calm], np.ones(len(single), np.int64)])
+    length = np.concatenate([(end - begin)[calm], np.ones(len(single), np.int64)])
+    first, off = np.concatenate([first[calm] + begin[calm], first[single] + shift]), np.concatenate([off[calm] - begin[calm], off[single] - shift])
     hot = np.concatenate([np.zeros(len(calm), bool), np.ones(len(single), bool)])
     rows = spec.contexts(t, first, length)
     cols = np.concatenate([columns(rows), ((length.astype(U) << U(16)) | (off.astype(U) << U(1)) | hot.astype(U))[:, None]], axis=1)
@@ -386,7 +422,7 @@ def by_bucket(spec: Repeats, s: Suffixes, bounds: np.ndarray, buckets: int) -> t
     return order, np.searchsorted(where[order], np.arange(buckets + 1))
 
 
-def _encode(s: Suffixes, at: np.ndarray) -> bytes:
+def _encode(s: Suffixes, at: np.ndarray, like: bytes) -> bytes:
     rows = s.rows[at]
     if rows.dtype == np.uint8:
         body, book = rows.tobytes(), b""
@@ -394,11 +430,11 @@ def _encode(s: Suffixes, at: np.ndarray) -> bytes:
         book, code = np.unique(rows, return_inverse=True)
         body, book = X.pack_planes(code.ravel().astype("<u4")), book.tobytes()
     head = np.array([len(at), len(book), len(body)], "<i8").tobytes()
-    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + s.value[at].astype("<i8").tobytes() + book + body, 3)
+    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + X.planes(s.value[at].astype("<i8")) + book + body, 3, like)
 
 
-def _decode(spec: Repeats, blob: bytes) -> Suffixes:
-    raw = X.unpack(blob)
+def _decode(spec: Repeats, blob: bytes, like: bytes) -> Suffixes:
+    raw = X.unpack(blob, like)
     n, book, body = np.frombuffer(raw, "<i8", 3)
     at = 24
     parts = []
@@ -406,6 +442,7 @@ def _decode(spec: Repeats, blob: bytes) -> Suffixes:
         parts.append(np.frombuffer(raw, dtype, size // np.dtype(dtype).itemsize, at))
         at += int(size)
     length, off, hot, value, words = parts
+    value = X.whole(value.view(np.uint8), "<i8")
     if len(words):
         rows = words[X.unpack_planes(raw[at : at + body], "<u4")].reshape(n, spec.span)
     else:
@@ -416,11 +453,11 @@ def _decode(spec: Repeats, blob: bytes) -> Suffixes:
 # ---- stage 3: one bucket
 
 
-def answer_windows(spec: Repeats, tree):
+def answer_windows(spec: Repeats, tree, like: bytes):
     """For each window of each suffix asked about, what ``tree`` merges over all equal windows of the bucket."""
 
     def reply(blobs: list[bytes]) -> list[bytes]:
-        parts = [_decode(spec, b) for b in blobs]
+        parts = [_decode(spec, b, like) for b in blobs]
         sizes = [len(p.length) for p in parts]
         rows = np.concatenate([p.rows for p in parts])
         length, off, value, hot = (np.concatenate([getattr(p, k) for p in parts]) for k in ("length", "off", "value", "hot"))
@@ -443,7 +480,7 @@ def answer_windows(spec: Repeats, tree):
     return reply
 
 
-def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text: str, ids: str | None):
+def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text: str, ids: str | None, like: bytes):
     def use(batch, got, chunk_id):
         s = suffixes(spec, batch, got, bits, text, ids)
         if s is None:
@@ -451,7 +488,7 @@ def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text
         order, cut = by_bucket(spec, s, bounds, buckets)
         which = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         for i in range(0, len(which), 16):
-            yield X.row_batch(chunk_id, 1, which[i : i + 16], [_encode(s, order[cut[b] : cut[b + 1]]) for b in which[i : i + 16]])
+            yield X.row_batch(chunk_id, 1, which[i : i + 16], [_encode(s, order[cut[b] : cut[b + 1]], like) for b in which[i : i + 16]])
 
     return use
 
@@ -476,8 +513,7 @@ def covered(spec: Repeats, batch, anchors: dict[int, bytes], windows: dict[int,
             start = start[value < owner]
         else:
             start = start[value > 0]
-        np.add.at(change, start, 1)
-        np.add.at(change, start + spec.width, -1)
+        change = np.bincount(start, minlength=n + 1) - np.bincount(start + spec.width, minlength=n + 1)
     return np.cumsum(change[:n]) > 0, at
 
 
@@ -500,8 +536,8 @@ def bucket_windows(spec: Repeats, rows, length, off, hot, value, sort, seed_colu
     return out if spec.least else out > 1
 
 
-def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: int = 96, each: int = 256) -> np.ndarray:
-    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of them, however large the input. They only place bucket bounds."""
+def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: int = 96, each: int = 256) -> tuple[np.ndarray, bytes]:
+    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of them, however large the input; they only place bucket bounds. And some text, to compress other text by."""
     from pyspark.sql import functions as F
 
     def run(batches):
@@ -514,22 +550,25 @@ def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: i
                     if len(first):
                         take = np.linspace(0, len(first) - 1, min(each, len(first))).astype(np.int64)
                         s = Suffixes(spec.contexts(t, first[take], length[take]), length[take], off[take], None, first, None, None)
-                        yield pa.RecordBatch.from_pydict({"lead": pa.array([x.ljust(LEAD, b"\0") for x in lead(spec, s).tolist()], pa.binary())})
+                        leads = [x.ljust(LEAD, b"\0") for x in lead(spec, s).tolist()]
+                        yield pa.RecordBatch.from_pydict({"lead": pa.array(leads, pa.binary()), "text": pa.array([raw[:LIKE].tobytes()] + [None] * (len(leads) - 1), pa.binary())})
 
     step = max(1, n_chunks // chunks_read)
     some = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0)
-    return np.sort(np.array([bytes(r[0]) for r in X.arrow(some).mapInArrow(run, "lead binary").collect()], f"S{LEAD}"))
+    rows = X.arrow(some).mapInArrow(run, "lead binary, text binary").collect()
+    texts = sorted(bytes(r[1]) for r in rows if r[1] is not None)
+    return np.sort(np.array([bytes(r[0]) for r in rows], f"S{LEAD}")), b"".join(texts)[: 32 * LIKE] if spec.kind == "bytes" else b""
 
 
 def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tree, rewrite, schema):
     """Run the stages over ``docs``. ``boundaries(sorted sample, buckets)`` cuts the suffixes' range, ``tree`` works on a bucket, and ``rewrite(batch, covered, first token of each row)`` makes the result rows of a chunk."""
-    chunks = X.make_chunks(docs, text)
-    n_chunks, n_bytes = X.measure(chunks)
+    chunks, n_chunks, n_bytes = X.make_chunks(docs, text)
     buckets, bits = X.bucket_count(n_bytes), hash_bits(n_bytes)
-    anchors = X.checkpoint(X.answer(X.scatter(chunks, ask_anchors(spec, buckets, bits, text)), lambda blobs: answer_anchors(spec, blobs)))
-    bounds = boundaries(sample_leads(chunks, n_chunks, spec, text), buckets)
-    asked = X.absorb(chunks, anchors, ask_windows(spec, bounds, len(bounds) + 1, bits, text, ids), X.CHUNK_SCHEMA)
-    windows = X.answer(asked, answer_windows(spec, tree))
+    keys = X.checkpoint(X.answer(X.scatter(chunks, ask_keys(spec, buckets, bits, text)), lambda blobs: answer_keys(spec, blobs)))
+    sample, like = sample_leads(chunks, n_chunks, spec, text)
+    bounds = boundaries(sample, buckets)
+    asked = X.absorb(chunks, keys, ask_windows(spec, bounds, len(bounds) + 1, bits, text, ids, like), X.CHUNK_SCHEMA)
+    windows = X.answer(asked, answer_windows(spec, tree, like))
 
     def use(batch, got, chunk_id):
         seen = {b: d for (kind, b), d in got.items() if kind == 2}
@@ -537,4 +576,4 @@ def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tr
         cover, at = covered(spec, batch, seen, said, bounds, len(bounds) + 1, bits, text, ids)
         yield from rewrite(batch, cover, at)
 
-    return X.absorb_kinds(chunks, [anchors, windows], use, schema)
+    return X.absorb_kinds(chunks, [keys, windows], use, schema)

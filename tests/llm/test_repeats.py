@@ -63,9 +63,8 @@ def test_hot_anchors_in_workers(spark):
     texts = [f"{i:060d}".encode() + line + f"{i * 7919:055d}".encode() for i in range(6)]
     batch = pa.RecordBatch.from_pydict({"id": pa.array(range(6), pa.int64()), "text": pa.array([t.decode() for t in texts])})
     raw, at = X.text_buffer(batch.column("text"))
-    first, length, h, off = spec.runs(raw, at)
+    _, length, _, _, keys, _, _, _ = R._run_keys(spec, raw, at, 40)
     assert length.sum() == sum(len(t) - 49 for t in texts)
-    keys = np.unique(h >> np.uint64(64 - 40))
     hot = R.suffixes(spec, batch, {0: X.pack(np.full(len(keys), 2, np.uint8))}, 40, "text", "id")
     assert set(hot.length) == {1} and hot.hot.all()
     calm = R.suffixes(spec, batch, {0: X.pack(np.full(len(keys), 1, np.uint8))}, 40, "text", "id")
@@ -94,6 +93,48 @@ def test_windows_have_one_anchor(monkeypatch):
         assert by_content.setdefault(content, place) == place
 
 
+def _thue_morse(n):
+    """n bytes and their complement: strings that polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    one, other = _thue_morse(n)
+    words = [f"x{i}" for i in range(34)]
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, " ".join([one, *words])), (4, " ".join([one, *words]))]
+    assert _as_tuples(_tree(spark, rows)) == sorted(S.brute_force(rows), key=repr)
+    assert _as_tuples(_array(spark, rows)) == sorted(A.brute_force(rows), key=repr)
+    swapped = [(1, " ".join(one if w == "a" else other for w in one[:n])), (2, " ".join(one if w == "a" else other for w in other[:n]))] if n == 512 else []
+    assert _as_tuples(_tree(spark, swapped)) == sorted(S.brute_force(swapped), key=repr)
+
+
+def test_word_hashes_tell_words_apart():
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = list({bytes(rnd.choice(b"ab\0") for _ in range(rnd.choice([1, 2, 7, 8, 9, 16, 17, 511, 512, 513, 3000]))) for _ in range(3000)})
+    ends = np.cumsum([len(w) for w in words])
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    hashes = R.word_hashes(raw, ends - [len(w) for w in words], ends)
+    assert len(set(hashes.tolist())) == len(words)
+    alone = [int(R.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words[:200]]
+    assert alone == hashes[:200].tolist()
+
+
+def test_chunks_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(X, "BUCKET_BYTES", 2_000)
+    rows = _documents()
+    small = X.make_chunks(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    monkeypatch.setattr(X, "GROWS_FROM", small[2] // 9)
+    large = X.make_chunks(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert X.times(small[2]) == 3 and large[2] == small[2] and 2 * large[1] < small[1]
+    assert sum(X.bytes_batch(r["data"]).num_rows for r in large[0].collect()) == len(rows)
+    assert _as_tuples(_array(spark, rows)) == sorted(A.brute_force(rows), key=repr)
+
+
 def test_empty_table_and_clashing_names(spark):
     assert _as_tuples(_array(spark, [])) == []
     assert _as_tuples(_tree(spark, [])) == []
