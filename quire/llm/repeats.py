@@ -36,7 +36,6 @@ from . import exchange as X
 HOT_CHUNKS = 64
 SLICE = 1_000_000
 LEAD = 24
-LIKE = 4096  #: bytes of a sampled chunk's text
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 _P = 0x5851F42D4C957F2D
@@ -422,7 +421,7 @@ def by_bucket(spec: Repeats, s: Suffixes, bounds: np.ndarray, buckets: int) -> t
     return order, np.searchsorted(where[order], np.arange(buckets + 1))
 
 
-def _encode(s: Suffixes, at: np.ndarray, like: bytes) -> bytes:
+def _encode(s: Suffixes, at: np.ndarray) -> bytes:
     rows = s.rows[at]
     if rows.dtype == np.uint8:
         body, book = rows.tobytes(), b""
@@ -430,11 +429,11 @@ def _encode(s: Suffixes, at: np.ndarray, like: bytes) -> bytes:
         book, code = np.unique(rows, return_inverse=True)
         body, book = X.pack_planes(code.ravel().astype("<u4")), book.tobytes()
     head = np.array([len(at), len(book), len(body)], "<i8").tobytes()
-    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + X.planes(s.value[at].astype("<i8")) + book + body, 3, like)
+    return X.pack(head + s.length[at].astype(np.uint8).tobytes() + s.off[at].astype(np.uint8).tobytes() + s.hot[at].astype(np.uint8).tobytes() + X.planes(s.value[at].astype("<i8")) + book + body, 3)
 
 
-def _decode(spec: Repeats, blob: bytes, like: bytes) -> Suffixes:
-    raw = X.unpack(blob, like)
+def _decode(spec: Repeats, blob: bytes) -> Suffixes:
+    raw = X.unpack(blob)
     n, book, body = np.frombuffer(raw, "<i8", 3)
     at = 24
     parts = []
@@ -453,11 +452,11 @@ def _decode(spec: Repeats, blob: bytes, like: bytes) -> Suffixes:
 # ---- stage 3: one bucket
 
 
-def answer_windows(spec: Repeats, tree, like: bytes):
+def answer_windows(spec: Repeats, tree):
     """For each window of each suffix asked about, what ``tree`` merges over all equal windows of the bucket."""
 
     def reply(blobs: list[bytes]) -> list[bytes]:
-        parts = [_decode(spec, b, like) for b in blobs]
+        parts = [_decode(spec, b) for b in blobs]
         sizes = [len(p.length) for p in parts]
         rows = np.concatenate([p.rows for p in parts])
         length, off, value, hot = (np.concatenate([getattr(p, k) for p in parts]) for k in ("length", "off", "value", "hot"))
@@ -480,7 +479,7 @@ def answer_windows(spec: Repeats, tree, like: bytes):
     return reply
 
 
-def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text: str, ids: str | None, like: bytes):
+def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text: str, ids: str | None):
     def use(batch, got, chunk_id):
         s = suffixes(spec, batch, got, bits, text, ids)
         if s is None:
@@ -488,7 +487,7 @@ def ask_windows(spec: Repeats, bounds: np.ndarray, buckets: int, bits: int, text
         order, cut = by_bucket(spec, s, bounds, buckets)
         which = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         for i in range(0, len(which), 16):
-            yield X.row_batch(chunk_id, 1, which[i : i + 16], [_encode(s, order[cut[b] : cut[b + 1]], like) for b in which[i : i + 16]])
+            yield X.row_batch(chunk_id, 1, which[i : i + 16], [_encode(s, order[cut[b] : cut[b + 1]]) for b in which[i : i + 16]])
 
     return use
 
@@ -536,8 +535,8 @@ def bucket_windows(spec: Repeats, rows, length, off, hot, value, sort, seed_colu
     return out if spec.least else out > 1
 
 
-def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: int = 96, each: int = 256) -> tuple[np.ndarray, bytes]:
-    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of them, however large the input; they only place bucket bounds. And some text, to compress other text by."""
+def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: int = 96, each: int = 256) -> np.ndarray:
+    """The leading tokens of some suffixes, sorted: at most ``2 * chunks_read * each`` of them, however large the input; they only place bucket bounds."""
     from pyspark.sql import functions as F
 
     def run(batches):
@@ -550,14 +549,11 @@ def sample_leads(chunks, n_chunks: int, spec: Repeats, text: str, chunks_read: i
                     if len(first):
                         take = np.linspace(0, len(first) - 1, min(each, len(first))).astype(np.int64)
                         s = Suffixes(spec.contexts(t, first[take], length[take]), length[take], off[take], None, first, None, None)
-                        leads = [x.ljust(LEAD, b"\0") for x in lead(spec, s).tolist()]
-                        yield pa.RecordBatch.from_pydict({"lead": pa.array(leads, pa.binary()), "text": pa.array([raw[:LIKE].tobytes()] + [None] * (len(leads) - 1), pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"lead": pa.array([x.ljust(LEAD, b"\0") for x in lead(spec, s).tolist()], pa.binary())})
 
     step = max(1, n_chunks // chunks_read)
     some = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0)
-    rows = X.arrow(some).mapInArrow(run, "lead binary, text binary").collect()
-    texts = sorted(bytes(r[1]) for r in rows if r[1] is not None)
-    return np.sort(np.array([bytes(r[0]) for r in rows], f"S{LEAD}")), b"".join(texts)[: 32 * LIKE] if spec.kind == "bytes" else b""
+    return np.sort(np.array([bytes(r[0]) for r in X.arrow(some).mapInArrow(run, "lead binary").collect()], f"S{LEAD}"))
 
 
 def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tree, rewrite, schema):
@@ -565,10 +561,9 @@ def covered_rows(docs, spec: Repeats, text: str, ids: str | None, boundaries, tr
     chunks, n_chunks, n_bytes = X.make_chunks(docs, text)
     buckets, bits = X.bucket_count(n_bytes), hash_bits(n_bytes)
     keys = X.checkpoint(X.answer(X.scatter(chunks, ask_keys(spec, buckets, bits, text)), lambda blobs: answer_keys(spec, blobs)))
-    sample, like = sample_leads(chunks, n_chunks, spec, text)
-    bounds = boundaries(sample, buckets)
-    asked = X.absorb(chunks, keys, ask_windows(spec, bounds, len(bounds) + 1, bits, text, ids, like), X.CHUNK_SCHEMA)
-    windows = X.answer(asked, answer_windows(spec, tree, like))
+    bounds = boundaries(sample_leads(chunks, n_chunks, spec, text), buckets)
+    asked = X.absorb(chunks, keys, ask_windows(spec, bounds, len(bounds) + 1, bits, text, ids), X.CHUNK_SCHEMA)
+    windows = X.answer(asked, answer_windows(spec, tree))
 
     def use(batch, got, chunk_id):
         seen = {b: d for (kind, b), d in got.items() if kind == 2}
