@@ -15,14 +15,13 @@ neighbours are joined upwards.  A join re-encodes only a window around the cut:
 Decoding halves the ids and concatenates up the tree.
 
 Nulls: a null text is empty and has no ids.  Special tokens' strings are ordinary
-text.
+text.  A column of the input that has an output's name gives way to it.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,13 @@ from pyspark.sql import types as T
 
 from . import exchange as X
 
-LEAF = 4096
-PIECE = 512
+LEAF = 256  #: characters of a text that are encoded by themselves
+PIECE = 64  #: bytes of a match that are merged by themselves
+KNOWN = 1 << 18  #: short matches whose tokens a worker remembers
 #: Unicode's White_Space, as a class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SAFE = regex.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+LAST = regex.compile(f"(?r)(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -49,28 +50,23 @@ def default_vocabulary() -> tuple[str, str]:
 
 class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
-
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
-        self.longest = max(map(len, ranks))
-        self.pattern = regex.compile(pattern)
-        self.short = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        found = regex.compile(pattern)
+        self.matches = (lambda t: [m.group() for m in found.finditer(t)]) if found.groups else found.findall
         self.compatible = functools.lru_cache(1 << 16)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
+        self.known: dict[str, list[int]] = {}
 
     # -- text
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self.short.encode_ordinary(text)
         return self._encode(text, 0, len(text))
 
     def _encode(self, text: str, a: int, b: int) -> list[int]:
         if b - a <= LEAF:
-            return self.short.encode_ordinary(text[a:b])
+            return self._window(text[a:b])
         cut = (a + b) // 2
         return self._join(text, a, cut, b, self._encode(text, a, cut), self._encode(text, cut, b))
 
@@ -80,17 +76,9 @@ class TreeEncoder:
         return left[: len(left) - self._count(left, len(text[lo:cut].encode()), -1)] + middle + right[self._count(right, len(text[cut:hi].encode()), 1) :]
 
     def _before(self, text: str, a: int, cut: int) -> int:
-        size = 64
-        while True:
-            lo = max(a, cut - size)
-            found = None
-            for found in SAFE.finditer(text, lo, cut):  # noqa: B007  the last one; at cut itself the next character isn't known
-                pass
-            if found is not None and found.start() > lo:
-                return found.start()
-            if lo == a:
-                return a
-            size *= 4
+        """The last boundary before the cut; at the cut itself the next character isn't known."""
+        found = LAST.search(text, a, cut)
+        return a if found is None else found.start()
 
     def _after(self, text: str, cut: int, b: int) -> int:
         found = SAFE.search(text, cut, b)
@@ -107,12 +95,17 @@ class TreeEncoder:
         return i
 
     def _window(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self.short.encode_ordinary(text)
         out: list[int] = []
-        for found in self.pattern.finditer(text):
-            piece = found.group().encode()
-            out += self.piece(piece)
+        known = self.known
+        for match in self.matches(text):
+            tokens = known.get(match)
+            if tokens is None:
+                tokens = self.piece(match.encode())
+                if len(match) <= 32:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[match] = tokens
+            out += tokens
         return out
 
     # -- one match
@@ -139,40 +132,30 @@ class TreeEncoder:
             i, j = min(len(left), 2 * i) if more_left else i, min(len(right), 2 * j) if more_right else j
 
     def merge(self, data: bytes) -> list[int]:
-        """Pairs by least rank, leftmost first, until none merges."""
-        n = len(data)
-        if n < 2:
-            return [self.ranks[data]] if n else []
-        nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n and (rank := self.ranks.get(data[i : end[j]])) is not None:
-                heapq.heappush(heap, (rank, i, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        alive = [True] * n
-        while heap:
-            rank, i, e = heapq.heappop(heap)
-            if not alive[i] or nxt[i] >= n or end[nxt[i]] != e:
-                continue
-            j = nxt[i]
-            alive[j] = False
-            end[i], nxt[i] = e, nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-                offer(i)
-            if prv[i] >= 0:
-                offer(prv[i])
-        return [self.ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+        """Pairs by least rank, leftmost first, until none merges. The pieces are short, so all pairs are looked at again each time."""
+        ranks = self.ranks
+        if not data:
+            return []
+        cut = list(range(len(data) + 1))
+        none = len(self.bytes_of)
+        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]  # pairs[i]: of the parts that begin at cut[i] and cut[i + 1]
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            i = pairs.index(least)
+            del cut[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(data[cut[i] : cut[i + 2]], none)
+            if i:
+                pairs[i - 1] = ranks.get(data[cut[i - 1] : cut[i + 1]], none)
+        return [ranks[data[a:b]] for a, b in zip(cut, cut[1:])]
 
     # -- back
 
     def decode(self, ids) -> bytes:
         n = len(ids)
-        if n <= LEAF:
+        if n <= 4096:
             return b"".join([self.bytes_of[i] for i in ids])
         return self.decode(ids[: n // 2]) + self.decode(ids[n // 2 :])
 
@@ -211,7 +194,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = N
                 out = {n: batch.column(n) for n in names} | {"ids": pa.array(ids, pa.binary())} | ({"back": pa.array(back, pa.binary())} if decode else {})
                 yield pa.RecordBatch.from_pydict(out)
 
-    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], ids_col, *[decoded_col] * decode)
+    return X.named(X.arrow(inner).mapInArrow(run, schema), names, fields, ["ids"] + ["back"] * decode, [ids_col] + [decoded_col] * decode)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "token_ids", ranks_path: str | None = None, pattern: str | None = None, decoded_col: str = "decoded") -> DataFrame:

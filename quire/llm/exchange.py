@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -236,5 +237,11 @@ def _empty(schema) -> pa.Table:
     return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
 
 
+def named(df: DataFrame, names: list[str], fields: list, more: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """``names`` as the input's columns again, then ``more`` as ``outs``. A column of the input that has the name of one of ``outs`` gives way to it."""
+    new = {o.lower() for o in outs}
+    return df.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields) if f.name.lower() not in new], *[F.col(m).alias(o) for m, o in zip(more, outs)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -9,9 +9,11 @@ deleted from them), so that every training token is held out once.
 Counting covers all training texts: every chunk of documents asks, per bucket of
 the key space, how often its words and pairs of words occur, giving its own
 counts; nothing travels as a row per word.  The evidence for the weights is a
-histogram with a fixed number of cells.
+histogram whose cells grow with the logarithm of the training tokens: contexts by
+powers of two, estimates by half powers of two down to one token in all.
 
 Words are told apart by 64-bit hashes; pairs by hashes that grow with the input.
+A column of the input that has an output's name gives way to it.
 
 Nulls: a null text is empty, that is, one end token.  A null id counts as an
 empty one (it is trained on).  Without training texts the score is that of the
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from .language_id import fold
 U = np.uint64
 END = R.mix(np.array([0x656E64], U))[0]
 BEGIN = R.mix(np.array([0x626567], U))[0]
-CONTEXTS = 16  #: buckets of context counts, by powers of two
-LEVELS = 40  #: levels of an estimate in the evidence, by half powers of two
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -152,25 +152,36 @@ def _corpus_counts(batch, got, text: str, trained: str, bits: int):
     return word[np.searchsorted(words, t)], word[np.searchsorted(words, before)], pair[np.searchsorted(pair_keys, pairs >> U(64 - bits))], first, use
 
 
-def _context_bucket(n: np.ndarray) -> np.ndarray:
-    return np.minimum(CONTEXTS - 1, np.frexp(n.astype(np.float64))[1])
+@dataclass(frozen=True)
+class Grid:
+    """The cells of the evidence for so many training tokens."""
+
+    contexts: int  #: buckets of context counts, by powers of two
+    levels: int  #: of an estimate, by half powers of two; 0: none
+
+    @classmethod
+    def of(cls, tokens: int) -> Grid:
+        size = max(2, tokens).bit_length()
+        return cls(size + 1, 2 * size + 2)
 
+    def bucket(self, n: np.ndarray) -> np.ndarray:
+        return np.minimum(self.contexts - 1, np.frexp(n.astype(np.float64))[1])
 
-def _level(p: np.ndarray) -> np.ndarray:
-    """0: none; else by half powers of two."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(LEVELS - 1 + np.round(2 * np.log2(np.maximum(p, 1e-300))), 1, LEVELS - 1), 0).astype(np.int64)
+    def level(self, p: np.ndarray) -> np.ndarray:
+        return np.where(p > 0, np.clip(self.levels - 1 + np.round(2 * np.log2(np.maximum(p, 1e-300))), 1, self.levels - 1), 0).astype(np.int64)
 
+    def estimate(self, level: np.ndarray) -> np.ndarray:
+        return np.where(level > 0, 2.0 ** ((level - (self.levels - 1)) / 2), 0.0)
 
-def _estimate(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** ((level - (LEVELS - 1)) / 2), 0.0)
+    def cell(self, bucket: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (bucket * self.levels + self.level(pair)) * self.levels + self.level(word)
 
 
-def learn_weights(cells: np.ndarray, number: np.ndarray, uniform: float, steps: int = 60) -> np.ndarray:
+def learn_weights(grid: Grid, cells: np.ndarray, number: np.ndarray, uniform: float, steps: int = 60) -> np.ndarray:
     """Weights (pair, word, uniform) of each bucket of contexts, by expectation-maximisation over the evidence."""
-    bucket, pair, word = cells // (LEVELS * LEVELS), cells // LEVELS % LEVELS, cells % LEVELS
-    p = np.stack([_estimate(pair), _estimate(word), np.full(len(cells), uniform)], axis=1)
-    weights = np.full((CONTEXTS, 3), 1 / 3)
+    bucket, pair, word = cells // grid.levels**2, cells // grid.levels % grid.levels, cells % grid.levels
+    p = np.stack([grid.estimate(pair), grid.estimate(word), np.full(len(cells), uniform)], axis=1)
+    weights = np.full((grid.contexts, 3), 1 / 3)
     for _ in range(steps):
         share = weights[bucket] * p
         share *= (number / share.sum(axis=1))[:, None]
@@ -188,7 +199,7 @@ def score_texts(df: DataFrame, train: Column, text_col: str = "text", out: str =
     fields = df.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     text = names[[f.name for f in fields].index(text_col)]
-    inner = df.withColumn("__train", F.coalesce(train, F.lit(False))).toDF(*names, "learn").withColumn(text, F.col(text).cast("string"))
+    inner = df.select("*", F.coalesce(train, F.lit(False)).alias("learn")).toDF(*names, "learn").withColumn(text, F.col(text).cast("string"))
     chunks, _, n_bytes = X.make_chunks(inner, text)
     buckets, bits = X.bucket_count(n_bytes), min(64, math.ceil(math.log2(max(n_bytes, 2))) + 16)
     counts = X.checkpoint(_answer(X.scatter(chunks, _ask(text, "learn", buckets, bits))))
@@ -198,31 +209,32 @@ def score_texts(df: DataFrame, train: Column, text_col: str = "text", out: str =
         tokens, distinct = tokens + n, distinct + v
     counts = counts.where("chunk_id >= 0")
     uniform = 1.0 / (distinct + 1)
+    grid = Grid.of(tokens)
 
     def evidence(batch, got, chunk_id):
         word, context, pair, _, use = _corpus_counts(batch, got, text, "learn", bits)
         word, context, pair = word[use], context[use], pair[use]
-        cell = (_context_bucket(context - 1) * LEVELS + _level((pair - 1) / np.maximum(context - 1, 1))) * LEVELS + _level((word - 1) / max(tokens - 1, 1))
+        cell = grid.cell(grid.bucket(context - 1), (pair - 1) / np.maximum(context - 1, 1), (word - 1) / max(tokens - 1, 1))
         own, number = np.unique(cell, return_counts=True)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(own, pa.int64()), "n": pa.array(number, pa.int64())})
 
-    # at most CONTEXTS * LEVELS ** 2 cells come to the driver
+    # at most contexts * levels ** 2 cells come to the driver: 400,000 for 10 ** 13 tokens
     seen = X.absorb(chunks, counts, evidence, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights(np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.float64), uniform)
+    weights = learn_weights(grid, np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.float64), uniform)
     more = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, inner.schema.fields)] + more)
 
     def score(batch, got, chunk_id):
         word, context, pair, first, _ = _corpus_counts(batch, got, text, "learn", bits)
         base = np.log10((word + 1) / (tokens + distinct + 1))
-        w = weights[_context_bucket(context)]
+        w = weights[grid.bucket(context)]
         p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] * uniform
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]  # noqa: E731  every row has its end token
         n = len(first) - 1
         found = {"n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(add((word > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(np.log10(p)), pa.float64())}
         yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in names} | found)
 
-    return X.absorb(chunks, counts, score, schema).toDF(*[f.name for f in fields], *[out + f.name for f in more])
+    return X.named(X.absorb(chunks, counts, score, schema), names, fields, [f.name for f in more], [out + f.name for f in more])
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

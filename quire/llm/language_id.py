@@ -13,8 +13,9 @@ for a worker's memory go to the workers in blocks, a pass over the texts for eac
 Texts that are judged are read whole.
 
 Nulls: a text that is null or has no letter is ``und`` and rejected; a row whose
-label is null teaches nothing; a null id counts as an empty one.  With nothing to
-learn from, every text is ``und``.
+label is null teaches nothing; a null id counts as an empty one.  Of languages with
+equal cross-entropies the first by name is chosen.  With nothing to learn from,
+every text is ``und``.  A column of the input that has an output's name gives way.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def classify(df: DataFrame, model: LanguageModel, text_col: str, out: str = "lan
         inner = X.arrow(inner).mapInArrow(step(shared, k == 0, last), T.StructType(own + (more if last else state)))
         if not last:  # so that the next block's workers don't hold this one's models too
             inner = X.checkpoint(inner)
-    return inner.toDF(*[f.name for f in fields], f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected")
+    return X.named(inner, names, fields, [f.name for f in more], [f"{out}pred", f"{out}score", f"{out}cross_entropy", f"{out}rejected"])
 
 
 def fold(id_col: str, of: int):

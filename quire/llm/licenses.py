@@ -10,7 +10,11 @@ Words are runs of ASCII digits, letters (A-Z lower-cased) and all other characte
 beyond ASCII.  Phrases of the base scan are counted at every place, overlapping
 ones too.
 
-Nulls: a null text is empty; no words, no labels.
+All matches of a template that don't overlap are spans, from left to right, each
+the shortest that begins where it does.
+
+Nulls: a null text is empty; no words, no labels.  Rows may repeat; each is judged
+by itself.  A column of the input that has an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -40,12 +44,36 @@ TEMPLATES = (
     ("lgpl", "gnu lesser general public license [[version <<version:1-2>>]]"),
     ("apache-2.0", "licensed under the apache license version 2 0 [[the license]]"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
     ("mit", "[[released]] under the mit license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("proprietary", "copyright [[c]] [[<<year:1-2>>]] <<holder:1-8>> all rights reserved"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation"
+        " the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall <<holders:1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and <<author:1-12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall <<author:1-12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"
+        " arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+        " [[ [[3]] neither the name of <<holder:1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"
+        " this software is provided by <<holders:1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
+        " for any purpose commercial or non commercial and by any means",
+    ),
 )
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -84,10 +112,15 @@ class Automaton:
             at += 1
 
     def find(self, words: Sequence[bytes]) -> tuple[int, int] | None:
+        return next(self.matches(words), None)
+
+    def matches(self, words: Sequence[bytes]):
+        """All matches from left to right, none overlapping the one before."""
+        over = 0
         for at, w in enumerate(words):
-            if (w in self.starts) and (end := self.accepts(words, at)) is not None:
-                return at, end
-        return None
+            if at >= over and w in self.starts and (end := self.accepts(words, at)) is not None:
+                yield at, end
+                over = end
 
 
 def compile_template(label: str, markup: str) -> Automaton:
@@ -180,9 +213,10 @@ def scan(text: bytes, phrases, machines: Sequence[Automaton]):
         last = high if last is None else max(last, high)
     labels, spans = set(base), []
     for m in machines:
-        if m.needs in joined and (found := m.find(words)) is not None:
-            labels.add(m.label)
-            spans.append({"label": m.label, "first": found[0], "end": found[1]})
+        if m.needs in joined:
+            spans += [{"label": m.label, "first": a, "end": b} for a, b in m.matches(words)]
+    labels |= {x["label"] for x in spans}
+    spans.sort(key=lambda x: (x["first"], x["end"], x["label"]))
     return len(words), count, first, last, sorted(base), sorted(labels), 1.0 if spans else 0.5 if base else 0.0, spans
 
 
@@ -207,7 +241,8 @@ def license_scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templat
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + columns, names=schema.names)
 
-    return X.arrow(inner).mapInArrow(run, schema).toDF(*[f.name for f in fields], *[out + f.name for f in T.StructType.fromDDL(more).fields])
+    outs = T.StructType.fromDDL(more).names
+    return X.named(X.arrow(inner).mapInArrow(run, schema), names, fields, outs, [out + o for o in outs])
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,9 @@ square of its members.
 Nulls and ties: words are lower-cased (A-Z) runs of characters other than space
 and tab to carriage return.  Rows without words, or without an id, are never
 linked and always kept.  The member with the smallest id stands for its class;
-rows that repeat an id and text are one member, all are returned.
+rows that repeat an id and text are returned each.  Other columns are not.  Words
+are told apart by 64-bit hashes where texts are sketched, by 32 bits of them where
+two texts are aligned.
 """
 
 from __future__ import annotations
@@ -283,13 +285,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     made = X.checkpoint(X.arrow(rows).mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
-    classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("key")))
+    classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))  # a checkpoint numbers classes once and for all
     links = _links(rows, classes, similarity)
     degree = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = degree.join(classes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
     member = components(links)
     known = classes.join(degree, "node", "left").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
+    least = X.checkpoint(known.groupBy("component").agg(F.min("rep").alias("class_id")))  # a row per class; the join may then split a large one
     known = known.join(least, "component").select("key", "class_id", "rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = made.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     out = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

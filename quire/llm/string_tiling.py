@@ -13,7 +13,8 @@ size over all seeds first sets aside the documents that hold none of them.
 
 Nulls: a null text has no words and matches nothing; an item with fewer than
 ``least`` words can't be matched; ties go to the smallest item id; an item with a
-null id counts as -1.  Rows may repeat; each is judged by itself.
+null id counts as -1.  Rows may repeat; each is judged by itself.  A column of the
+input that has an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -246,7 +247,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     best = F.array_sort("found", lambda x, y: F.when(x["coverage"] != y["coverage"], F.when(x["coverage"] > y["coverage"], -1).otherwise(1)).when(x["item"] < y["item"], -1).when(x["item"] > y["item"], 1).otherwise(0))[0]
     some = F.size("found") > 0
     best = F.when(some, best)
-    return df.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields)], some.alias(f"{out}contaminated"), F.coalesce(best["coverage"], F.lit(0.0)).alias(f"{out}coverage"), best["item"].alias(f"{out}item_id"), F.coalesce(best["tiles"], F.lit(0)).cast("long").alias(f"{out}tiles"), F.array_sort(F.transform("found", lambda x: x["item"])).alias(f"{out}items"))
+    more = {"contaminated": some, "coverage": F.coalesce(best["coverage"], F.lit(0.0)), "item_id": best["item"], "tiles": F.coalesce(best["tiles"], F.lit(0)).cast("long"), "items": F.array_sort(F.transform("found", lambda x: x["item"]))}
+    found = df.select(*names, *[c.alias(m) for m, c in more.items()])
+    return X.named(found, names, fields, list(more), [out + m for m in more])
 
 
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

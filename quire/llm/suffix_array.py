@@ -8,7 +8,7 @@ as text, meet in one bucket and no comparison is lost at a boundary.
 
 Nulls and ties: a null text is empty; a null id counts as larger than any other;
 documents with one id never remove each other's bytes; matches never cross
-documents.  An empty table gives an empty result.
+documents.  An empty table gives an empty result.  Other columns are not returned.
 """
 
 from __future__ import annotations

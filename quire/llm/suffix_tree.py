@@ -2,9 +2,9 @@
 
 Sparse suffixes (repeats.py) of the corpus, read as words, are split by
 variable-length prefixes into groups that fit one worker's memory: a prefix that
-too many suffixes share is lengthened.  Each group's suffix tree is built from
-its sorted suffixes and their common prefixes; the internal nodes as deep as the
-window are its repeats.
+too many suffixes share is lengthened.  Each group's suffix tree, its internal
+nodes with their string depths and leaves, is built from its sorted suffixes and
+their common prefixes; the topmost nodes as deep as a window are its repeats.
 
 Nulls and ties: a null text has no words; repeats within one document count;
 every occurrence is removed; an empty table gives an empty result.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,43 @@ def prefixes(sample: np.ndarray, groups: int) -> np.ndarray:
     return np.unique(np.array([c for c in cut if c], f"S{R.LEAD}"))
 
 
-def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The topmost nodes of at least ``depth`` in the tree over sorted suffixes: leaves first to last, from the lengths of their common prefixes."""
-    first = np.flatnonzero(common < depth)
-    return first, np.append(first[1:], len(common))
+@dataclass(frozen=True)
+class Tree:
+    """The internal nodes of a suffix tree: string depth, leaves first .. last - 1 (places in the order of the suffixes), and parent (-1: the root's)."""
+
+    depth: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    parent: np.ndarray
+
+    def deep(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves, first and last, of the topmost internal nodes of at least ``depth``: each is a string of that length that occurs more than once, and holds all its occurrences."""
+        above = np.append(self.depth, -1)[self.parent]
+        top = np.flatnonzero((self.depth >= depth) & (above < depth))
+        return self.first[top], self.last[top]
+
+
+def build(common: np.ndarray) -> Tree:
+    """The tree over sorted suffixes, from how long a prefix each shares with the one before it: suffixes are added from left to right, the nodes on the way from the root to the last one being open."""
+    depth, first, last, parent = [], [], [], []
+    opened: list[int] = []
+    for i, shared in enumerate([*common[1:].tolist(), 0]):
+        begin, child = i, -1
+        while opened and depth[opened[-1]] > shared:
+            if child >= 0:
+                parent[child] = opened[-1]
+            child = opened.pop()
+            last[child] = i + 1
+            begin = first[child]
+        if shared and not (opened and depth[opened[-1]] == shared):
+            opened.append(len(depth))
+            depth.append(shared)
+            first.append(begin)
+            last.append(-1)
+            parent.append(-1)
+        if child >= 0 and opened:
+            parent[child] = opened[-1]
+    return Tree(*(np.array(x, np.int64) for x in (depth, first, last, parent)))
 
 
 def subtree(spec: R.Repeats, rows, length, off, hot, value) -> np.ndarray:
@@ -68,16 +102,20 @@ def subtree(spec: R.Repeats, rows, length, off, hot, value) -> np.ndarray:
     at = np.cumsum(length) - length
     out = np.repeat(value, length)
     order, common = R.multikey(R.window_rows(rows, np.arange(len(off)), off, spec.width))
-    first, last = deep_nodes(common, spec.seed)
+    first, last = build(common).deep(spec.seed)  # the runs of one anchor
     inner = np.zeros(len(order), bool)
-    inner[order] = np.repeat(last - first > 1, last - first)
+    for a, b in zip(first.tolist(), last.tolist()):
+        inner[order[a:b]] = True
     many = np.flatnonzero(inner)
-    if len(many):  # below a node of the seed's depth, every window is a suffix of its own
+    if len(many):  # below such a node, every window is a suffix of its own
         run, shift = R.expand(length[many])
+        flat = at[many][run] + shift
         order, common = R.multikey(R.window_rows(rows[many], run, shift, spec.width))
-        first, last = deep_nodes(common, spec.width)
-        leaves = np.add.reduceat(value[many][run[order]], first)
-        out[(at[many][run] + shift)[order]] = np.repeat(leaves, last - first)
+        first, last = build(common).deep(spec.width)
+        leaves = np.append(0, np.cumsum(value[many][run[order]]))
+        of = np.repeat(np.arange(len(first)), last - first)
+        place = np.arange(len(of)) + (first - np.append(0, np.cumsum(last - first))[:-1])[of]
+        out[flat[order[place]]] = (leaves[last] - leaves[first])[of]
     return out > 1
 
 
@@ -85,8 +123,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     """Remove each word covered by ``width`` consecutive words that also occur anywhere else.
 
     All columns stay; the text becomes the kept words joined by one space where words were removed and is unchanged
-    elsewhere.  New columns (prefixed ``dedup_``, which must not exist): n_words, n_removed, kept (string: the kept words joined
-    by one space).  ``width`` is 16 at least."""
+    elsewhere.  New columns (prefixed ``dedup_``; columns of those names give way): n_words, n_removed, kept (string: the kept
+    words joined by one space).  ``width`` is 16 at least."""
     if width < 16:
         raise ValueError("width must be 16 at least")
     spec = R.Repeats("words", width, SEED, False, hot_chunks)
@@ -113,7 +151,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
         yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(np.diff(at), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     found = R.covered_rows(inner, spec, names[at_text], None, prefixes, subtree, rewrite, schema)
-    return found.toDF(*[f.name for f in fields], "dedup_n_words", "dedup_n_removed", "dedup_kept")
+    return X.named(found, names, fields, ["n_words", "n_removed", "kept"], ["dedup_n_words", "dedup_n_removed", "dedup_kept"])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

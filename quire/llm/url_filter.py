@@ -2,14 +2,17 @@
 
 Rules allow or block a host with its subdomains below a path; the longest that
 fits decides.  For other URLs, a smoothed variable-order Markov model of accepted
-URLs and one of rejected URLs are compared by their log-likelihoods per character.
+URLs and one of rejected URLs are compared by their log-likelihoods per character
+over all that follows ``://``, the host in lower case, query and fragment included.
 They learn from the URLs that rules decide (a bounded sample of each kind, by
 hash), and the threshold is the one that errs least, both kinds weighing alike,
 on the part of the sample that neither model saw.
 
 Nulls: a URL that is null or has no ``://`` has an empty host and path; no rule
-fits it, and an empty one is allowed.  Where only one kind was met, the others get
-its opposite only if a rule says so: all are allowed.
+fits it, and one with nothing after ``://`` is allowed.  Where only one kind was met, the others get
+its opposite only if a rule says so: all are allowed.  Of rules of one length that
+fit, the first in order of text decides.  Rows may repeat; each is judged by itself.
+A column of the input that has an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -48,11 +51,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """All columns, and host, path, rule, verdict, ratio (log-likelihood difference per character, above 0 for accepted; null where a rule decides), each prefixed ``url_``."""
-    host, path = host_and_path(F.col(url_col))
-    judged = pages.withColumn("url_host", host).withColumn("url_path", path)
+    fields = pages.schema.fields
+    names = [f"c{i}" for i in range(len(fields))]
+    url = F.col(names[[f.name for f in fields].index(url_col)]).cast("string")
+    host, path = host_and_path(url)
+    rest = F.coalesce(F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))), F.lit(""))
+    judged = pages.toDF(*names).withColumn("url_host", host).withColumn("url_path", path).withColumn("url_rest", F.concat("url_host", F.substring(rest, F.length("url_host") + 1, F.length(rest))))
     fits = rule_for(F.col("url_host"), F.col("url_path"), rules) if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
     judged = judged.withColumn("url_fits", fits).withColumn("url_rule", F.col("url_fits.rule")).withColumn("url_said", F.col("url_fits.verdict")).drop("url_fits")
-    text = F.concat("url_host", "url_path")
+    text = F.col("url_rest")
     taught = judged.where("url_said is not null").select("url_said", text.alias("u")).where(F.length("u").between(1, longest))
     number = {r["url_said"]: r["n"] for r in taught.groupBy("url_said").agg(F.approx_count_distinct("u").alias("n")).collect()}
     dice = F.pmod(F.xxhash64("u"), F.lit(1 << 30)) / float(1 << 30)
@@ -77,7 +84,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[st
 
     judged = judged.withColumn("url_ratio", F.when(F.col("url_said").isNull(), ratio(text)))
     verdict = F.coalesce("url_said", F.when((F.col("url_ratio") < 0) & (F.length(text) > 0), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.withColumn("url_verdict", verdict).drop("url_said")
+    outs = ["url_host", "url_path", "url_rule", "url_verdict", "url_ratio"]
+    return X.named(judged.withColumn("url_verdict", verdict), names, fields, outs, outs)
 
 
 def _ratio(models, urls: list[str]) -> np.ndarray:

@@ -1,39 +1,52 @@
 """op2, op5, op6, op7, op10: round trips, brute force, held-out accuracy, edge cases."""
 
+import functools
 import math
 import random
 import re
-import struct
 
+import numpy as np
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.llm import bpe_tree, charlm, interpolation, language_id, licenses, url_filter
 
 
-@pytest.fixture(scope="module")
-def tree():
+@functools.lru_cache(1)
+def _encoders():
+    """The tree, and the library's encoder."""
     path, pattern = bpe_tree.default_vocabulary()
     with open(path, "rb") as f:
-        return bpe_tree.encoder(f.read(), pattern)
+        tree = bpe_tree.encoder(f.read(), pattern)
+    return tree, tiktoken.Encoding("library", pat_str=pattern, mergeable_ranks=tree.ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def tree():
+    return _encoders()[0]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab1é日 \n\t'x.!\u3000\x1c\x85", max_size=60), st.integers(1, 400))
 def test_tree_is_the_librarys_encoding(text, times):
-    path, pattern = bpe_tree.default_vocabulary()
-    with open(path, "rb") as f:
-        tree = bpe_tree.encoder(f.read(), pattern)
+    tree, library = _encoders()
     text = text * times
     ids = tree.encode(text)
-    assert ids == tree.short.encode_ordinary(text)
+    assert ids == library.encode_ordinary(text)
     assert tree.decode(ids) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["a" * 20_000, " " * 20_000, "日本語" * 4_000, "ab" * 9_000 + " ", "\n" * 9_000 + "x", "x" * 4096 + " " * 5000 + "y", "don't " * 3000])
 def test_long_runs(tree, text):
-    assert tree.encode(text) == tree.short.encode_ordinary(text)
+    assert tree.encode(text) == _encoders()[1].encode_ordinary(text)
+
+
+def test_documents_as_the_library(spark):
+    found = bpe_tree.bpe_encode(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")).collect()
+    for r in found:
+        assert np.frombuffer(r["token_ids"], "<u4").tolist() == _encoders()[1].encode_ordinary(r["text"])
 
 
 def test_join_inside_a_match(tree):
@@ -215,10 +228,207 @@ def test_lm_base_and_model(spark, monkeypatch):
     assert interpolation.score_texts(df.limit(0), language_id.fold("doc_id", 7) != 2).collect() == []
 
 
+def _slow_weights(rows, steps=60):
+    """EM over every training token by itself, estimates as they are."""
+    count, context, pair = {}, {}, {}
+    texts = [[None, *re.findall(r"[^\x20\x09-\x0D]+", t), None] for t in rows]
+    for t in texts:
+        for a, b in zip(t, t[1:]):
+            count[b], context[a], pair[a, b] = count.get(b, 0) + 1, context.get(a, 0) + 1, pair.get((a, b), 0) + 1
+    n, uniform = sum(count.values()), 1 / (len(count) + 1)
+    seen = [(max(0, context[a] - 1), (pair[a, b] - 1) / max(1, context[a] - 1), (count[b] - 1) / (n - 1)) for t in texts for a, b in zip(t, t[1:])]
+    bucket = [int(c).bit_length() for c, _, _ in seen]
+    w = {k: [1 / 3] * 3 for k in bucket}
+    for _ in range(steps):
+        total = {k: [1e-3] * 3 for k in w}
+        for k, (_, p, q) in zip(bucket, seen):
+            share = [w[k][0] * p, w[k][1] * q, w[k][2] * uniform]
+            for i in range(3):
+                total[k][i] += share[i] / sum(share)
+        w = {k: [x / sum(v) for x in v] for k, v in total.items()}
+    score = []
+    for t in texts:
+        s = 0.0
+        for a, b in zip(t, t[1:]):
+            k = w.get(int(context[a]).bit_length(), [1 / 3] * 3)
+            s += math.log10(k[0] * pair[a, b] / context[a] + k[1] * count[b] / n + k[2] * uniform)
+        score.append(s)
+    return score
+
+
+def test_lm_score_against_slow_em(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(15)
+    rows = []
+    for i in range(150):
+        at, text = 0, []
+        for _ in range(rnd.randint(0, 80)):
+            at = (at + 1) % 40 if rnd.random() < 0.6 else rnd.randrange(40)
+            text.append(f"w{at}")
+        rows.append((i, " ".join(text)))
+    found = {r["i"]: r["lm_score"] for r in interpolation.score_texts(spark.createDataFrame(rows, "i long, text string"), F.lit(True)).collect()}
+    for (i, _), want in zip(rows, _slow_weights([t for _, t in rows])):
+        assert math.isclose(found[i], want, rel_tol=0.01, abs_tol=0.01)  # the evidence has estimates by half powers of two
+
+
 def test_weights_rise_with_evidence():
-    import numpy as np
+    for tokens in (1000, 10**13):
+        grid = interpolation.Grid.of(tokens)
+        lone = np.array([1 / tokens])
+        assert math.isclose(grid.estimate(grid.level(lone))[0], 1 / tokens, rel_tol=0.5) and grid.bucket(np.array([tokens]))[0] < grid.contexts
+        cells = np.concatenate([grid.cell(np.array([5]), np.array([0.5]), np.array([0.01])), grid.cell(np.array([1]), np.array([0.0]), np.array([0.01]))])
+        w = interpolation.learn_weights(grid, cells, np.array([100.0, 100.0]), 1 / tokens)
+        assert w[5, 0] > 0.9 and w[1, 0] < 0.05 and np.allclose(w.sum(axis=1), 1)
+
+
+def test_lm_words_that_polynomials_confuse(spark):
+    from pyspark.sql import functions as F
+
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    found = {r["i"]: r["lm_n_known"] for r in interpolation.score_texts(spark.createDataFrame(rows, "i long, text string"), F.col("i") == 1).collect()}
+    assert found == {1: 2, 2: 1}
+
+
+def _slow_kneser_ney(texts, order):
+    """P(c | context) by dictionaries of strings."""
+    lead = "\0" * (order - 1)
+    grams = [{} for _ in range(order)]
+    for t in texts:
+        t = lead + t
+        for i in range(order - 1, len(t)):
+            for n in range(order):
+                g = t[i - n : i + 1]
+                grams[n][g] = grams[n].get(g, 0) + 1
+    counts = [dict(g) for g in grams]
+    for n in range(order - 1):
+        before = {}
+        for g in grams[n + 1]:
+            before[g[1:]] = before.get(g[1:], 0) + 1
+        counts[n] = {g: max(before.get(g, 1), 1) for g in grams[n]}
+    discount = []
+    for c in counts:
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount.append(min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5)
+
+    def p(context, c):
+        out = 1 / (len(grams[0]) + 1)
+        for n in range(order):
+            h = context[len(context) - n :] if n else ""
+            own = [v for g, v in counts[n].items() if g[:-1] == h]
+            if own:
+                out = max(counts[n].get(h + c, 0) - discount[n], 0) / sum(own) + discount[n] * len(own) / sum(own) * out
+        return out
+
+    return lambda t: sum(math.log(p((lead + t)[i : i + order - 1], t[i])) for i in range(len(t)))
+
+
+def _slow_variable_order(texts, order, least=2):
+    lead = "\0" * (order - 1)
+    grams = [{} for _ in range(order)]
+    for t in texts:
+        t = lead + t
+        for i in range(order - 1, len(t)):
+            for n in range(order):
+                g = t[i - n : i + 1]
+                grams[n][g] = grams[n].get(g, 0) + 1
+
+    def p(context, c):
+        out = 1 / (len(grams[0]) + 1)
+        for n in range(order):
+            h = context[len(context) - n :] if n else ""
+            own = [v for g, v in grams[n].items() if g[:-1] == h]
+            if own and sum(own) >= (least if n else 1):
+                out = grams[n].get(h + c, 0) / (sum(own) + len(own)) + len(own) / (sum(own) + len(own)) * out
+        return out
+
+    return lambda t: sum(math.log(p((lead + t)[i : i + order - 1], t[i])) for i in range(len(t)))
+
+
+@pytest.mark.parametrize("fast,slow", [(charlm.kneser_ney, _slow_kneser_ney), (charlm.variable_order, _slow_variable_order)])
+def test_character_models_against_dictionaries(fast, slow):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcé /") for _ in range(rnd.randint(0, 40))) for _ in range(25)]
+    model, p = fast(texts, 4), slow(texts, 4)
+    asked = texts[:8] + ["", "zzz", "abz", "é" * 9]
+    total, _ = charlm.log_probabilities([model], asked)
+    assert np.allclose(total[:, 0], [p(t) for t in asked], rtol=1e-9)
+
+
+def test_language_sample_with_one_id(spark):
+    """Labels are learned whether ids are shared or null, and rows repeated."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    many = docs.union(docs).union(docs)
+    for i in ("0", "77", "null"):
+        model = language_id.train(many.selectExpr(f"cast({i} as long) doc_id", "*"), "doc_id", "text", "lang", per_language=20)
+        assert model.names == ["de", "en", "es", "fr"]
+
+
+def test_verdicts_against_the_slow_model(spark):
+    """URLs that no rule decides are judged as dictionaries of strings would, query and fragment included."""
+    rnd = random.Random(8)
+    rows = [(i, f"http://s{rnd.randrange(9)}.com/en/{rnd.choice(['spam', 'casino', 'buy'])}{rnd.randrange(99)}?x=win") for i in range(60)]
+    rows += [(100 + i, f"http://S{rnd.randrange(9)}.net/de/{rnd.choice(['news', 'wiki', 'paper'])}{rnd.randrange(99)}#top") for i in range(60)]
+    rows += [(200, "http://t.org/casino?x=win"), (201, "http://t.org/wiki#top"), (202, "http://T.org/buy1?x=win"), (203, "http://t.org/news"), (204, "x://t.org/paper2#top")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    whole = lambda u: (lambda r: re.match(r"[^/?#]*", r)[0].lower() + r[re.match(r"[^/?#]*", r).end() :])(u.partition("://")[2])
+    taught = spark.createDataFrame([(whole(u), found[i]["url_verdict"]) for i, u in rows if found[i]["url_rule"]], "u string, v string")
+    from pyspark.sql import functions as F
+
+    learn = {k: [r["u"] for r in taught.where(F.col("v") == k).select("u").distinct().orderBy(F.xxhash64("u"), "u").collect()] for k in ("allow", "block")}
+    a, b = (_slow_variable_order(learn[k][::2], url_filter.ORDER) for k in ("allow", "block"))
+    ratio = lambda u: (a(u) - b(u)) / len(u)
+    threshold = url_filter._threshold(*(np.array([ratio(u) for u in learn[k][1::2]]) for k in ("allow", "block")))
+    for i, u in rows[-5:]:
+        assert found[i]["url_rule"] is None and math.isclose(found[i]["url_ratio"], ratio(whole(u)) - threshold, abs_tol=1e-9)
+        assert found[i]["url_verdict"] == ("block" if ratio(whole(u)) < threshold else "allow")
+    assert [found[i]["url_verdict"] for i in (200, 201, 202, 203, 204)] == ["block", "allow", "block", "allow", "allow"]
+
+
+def test_clashing_names(spark):
+    """A column that has an output's name gives way; others stay, whatever they are called."""
+    from quire.llm import string_tiling, suffix_tree
+
+    df = spark.createDataFrame([(1, "http://a.com/en/x y", "k", "de", 5, 6)], "i long, text string, c0 string, Lang_Pred string, url_host int, lm_score int")
+    more = df.selectExpr("*", "1 as token_ids", "2 as license_labels", "3 as leak_items", "4 as dedup_kept", "true as learn")
+    model = language_id.train(more, "i", "text", "c0")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    from pyspark.sql import functions as F
+
+    for found in (
+        language_id.classify(more, model, "text"), url_filter.filter_urls(more, "text"), bpe_tree.bpe_encode(more), licenses.license_scan(more),
+        interpolation.score_texts(more, F.col("learn")), string_tiling.decontaminate(more, bench), suffix_tree.substring_dedup(more),
+    ):
+        names = [c.lower() for c in found.columns]
+        assert len(set(names)) == len(names)
+        row = found.first()
+        assert row["i"] == 1 and row["c0"] == "k" and row["text"] == "http://a.com/en/x y"
+
+
+def test_all_matches_of_a_template():
+    machines = licenses.automata((("t", "one [[two]] three"), ("u", "three <<x:0-1>> four")))
+    found = licenses.scan(b"one three one two three x four one three", (), machines)
+    assert [(s["label"], s["first"], s["end"]) for s in found[7]] == [("t", 0, 2), ("t", 2, 5), ("u", 4, 7), ("t", 7, 9)]
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 500)
+    words = re.sub(r"<<\w+:\d+-\d+>>", "the authors or copyright holders", re.sub(r"\[\[.*?\]\]", "", mit))
+    scan = lambda t: licenses.scan(t.encode(), licenses.PHRASES, licenses.automata(licenses.TEMPLATES))[5]
+    assert scan(f"Copyright 2020. {words.title()}.") == ["mit"] and scan(words.replace("merchantability", "quality")) == []
+
+
+def test_very_long_texts(spark):
+    """Longer than a batch's slice, in one document."""
+    long = "the quick brown fox " * 120_000
+    rows = [(1, long), (2, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r["doc_id"]: r for r in bpe_tree.bpe_encode(df, decode=True).collect()}
+    assert bytes(ids[1]["decoded"]) == long.encode()
+    words = {r["doc_id"]: r["license_n_words"] for r in licenses.license_scan(df).collect()}
+    assert words == {1: 480_000, 2: 1}
+    from pyspark.sql import functions as F
 
-    cell = lambda b, pair, word: (b * interpolation.LEVELS + pair) * interpolation.LEVELS + word
-    w = interpolation.learn_weights(np.array([cell(5, 38, 10), cell(1, 0, 10)]), np.array([100.0, 100.0]), 1e-6)
-    assert w[5, 0] > 0.9 and w[1, 0] < 0.05 and np.allclose(w.sum(axis=1), 1)
-    assert struct.calcsize("<I") == 4
+    scored = {r["doc_id"]: r for r in interpolation.score_texts(df, F.lit(True)).collect()}
+    assert scored[1]["lm_n_tokens"] == 480_001 and scored[1]["lm_train_tokens"] == 480_003
+    model = language_id.train(df.selectExpr("*", "'en' as lang"), "doc_id", "text", "lang")
+    assert {r["lang_pred"] for r in language_id.classify(df, model, "text").collect()} == {"en"}

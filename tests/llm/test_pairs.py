@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 
 from quire.llm import components, embedding_dedup, order_minhash, string_tiling
 
@@ -106,6 +107,32 @@ def test_copies_that_share_any_band_are_one_class(spark):
     assert len(like) > 500 and [(i, j) for i, j in like if found[i] != found[j]] == []
 
 
+@pytest.mark.parametrize("size,edits", [(60, 1), (60, 4), (60, 6), (60, 9), (200, 20), (200, 36)])
+def test_recall_against_all_pairs(spark, size, edits):
+    """Of pairs that are copies by the operator's own criterion, at edit similarities from 0.98 down to 0.82, nearly all are linked."""
+    rnd = random.Random(size + edits)
+    rows = []
+    for f in range(100):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        other = list(words)
+        for at in rnd.sample(range(size), edits):
+            other[at] = f"x{rnd.randrange(10**6)}"
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join(other))]
+    found = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * f + 1] == 2 * f for f in range(100)) >= 95
+    assert all(found[2 * f] == 2 * f for f in range(100))
+
+
+def test_words_that_polynomials_confuse(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    found = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2}
+    item, doc = [(1, f"v w x y {one}")], [(1, f"v w x y {one}"), (2, f"v w x y {other}")]
+    got = string_tiling.decontaminate(spark.createDataFrame(doc, "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["leak_contaminated"] for r in got} == {1: True, 2: False}
+
+
 def _scattered(rate, n, seed, size=200):
     rng = np.random.default_rng(seed)
     for _ in range(n):
@@ -190,6 +217,31 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).collect() == []
 
 
+def test_vectors_of_one_id_and_of_any_length(spark, monkeypatch):
+    big = float(np.finfo("f8").max) / 4
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (1, [1.0, 0.0])]
+    df = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    found = sorted((r["id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df(rows)).collect())
+    assert found == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    twice = embedding_dedup.embedding_dedup(df([(5, [1.0, 2.0]), (5, [1.0, 2.0])])).collect()
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in twice] == [(0, 5, True)] * 2
+    for a, b in (([1e200, 0.0], [2e200, 1e190]), ([1e-200, 0.0], [2e-200, 0.0]), ([5e-324, 0.0], [big, 0.0])):
+        pair = embedding_dedup.embedding_dedup(df([(1, a), (2, b)])).collect()
+        assert [r["n_links"] for r in pair] == [1, 1]
+    # blocks of few tiles find what one block does
+    rnd = np.random.default_rng(3)
+    rows = [(i, (rnd.normal(size=8) + 2).tolist()) for i in range(300)]
+    want = sorted(map(tuple, embedding_dedup.embedding_dedup(df(rows)).collect()))
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 8 * 20 * 2)
+    for threshold in (0.95,):
+        got = sorted(map(tuple, embedding_dedup.embedding_dedup(df(rows), threshold=threshold, tile=20, pivots=3).collect()))
+        assert got == want
+    # many dimensions without pivots
+    rows = [(10 * n + k, [float(k < 2)] + [1.0] * n) for n in range(1, 40) for k in range(3)]
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df(rows), pivots=1).collect()}
+    assert all(got[10 * n] >= 1 and got[10 * n + 1] == got[10 * n] for n in range(1, 40))
+
+
 def test_quantisation_bound():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(200, 64))
@@ -299,7 +351,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(found) == [i for i, _ in kept if i != 13]
     path, pattern = bpe_tree.default_vocabulary()
     with open(path, "rb") as f:
-        library = bpe_tree.encoder(f.read(), pattern).short
+        library = tiktoken.Encoding("library", pat_str=pattern, mergeable_ranks=bpe_tree.encoder(f.read(), pattern).ranks, special_tokens={})
     for i, text in kept:
         if i == 13:
             continue
