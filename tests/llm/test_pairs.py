@@ -225,21 +225,18 @@ def test_vectors_of_one_id_and_of_any_length(spark, monkeypatch):
     assert found == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
     twice = embedding_dedup.embedding_dedup(df([(5, [1.0, 2.0]), (5, [1.0, 2.0])])).collect()
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in twice] == [(0, 5, True)] * 2
-    for a, b in (([1e200, 0.0], [2e200, 1e190]), ([1e-200, 0.0], [2e-200, 0.0]), ([5e-324, 0.0], [big, 0.0])):
-        pair = embedding_dedup.embedding_dedup(df([(1, a), (2, b)])).collect()
-        assert [r["n_links"] for r in pair] == [1, 1]
+    far = [[1e200, 0.0], [2e200, 1e190], [0.0, 1e-200, 0.0], [0.0, 2e-200, 0.0], [0.0, 0.0, 0.0, 5e-324], [0.0, 0.0, 0.0, big]]
+    assert [r["n_links"] for r in embedding_dedup.embedding_dedup(df(list(enumerate(far)))).collect()] == [1] * 6
     # blocks of few tiles find what one block does
     rnd = np.random.default_rng(3)
-    rows = [(i, (rnd.normal(size=8) + 2).tolist()) for i in range(300)]
+    rows = [(i, (rnd.normal(size=8) + 2).tolist()) for i in range(200)]
     want = sorted(map(tuple, embedding_dedup.embedding_dedup(df(rows)).collect()))
-    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 8 * 20 * 2)
-    for threshold in (0.95,):
-        got = sorted(map(tuple, embedding_dedup.embedding_dedup(df(rows), threshold=threshold, tile=20, pivots=3).collect()))
-        assert got == want
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 8 * 40 * 2)
+    assert sorted(map(tuple, embedding_dedup.embedding_dedup(df(rows), tile=40, pivots=2).collect())) == want
     # many dimensions without pivots
-    rows = [(10 * n + k, [float(k < 2)] + [1.0] * n) for n in range(1, 40) for k in range(3)]
+    rows = [(10 * n + k, [float(k < 2)] + [1.0] * n) for n in range(1, 6) for k in range(3)]
     got = {r["id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df(rows), pivots=1).collect()}
-    assert all(got[10 * n] >= 1 and got[10 * n + 1] == got[10 * n] for n in range(1, 40))
+    assert all(got[10 * n] >= 1 and got[10 * n + 1] == got[10 * n] for n in range(1, 6))
 
 
 def test_quantisation_bound():
