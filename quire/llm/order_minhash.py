@@ -286,10 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = X.checkpoint(X.arrow(rows).mapInArrow(sketch, "id long, key binary, size long, bands array<long>"))
     live = made.where("key is not null and id is not null")
     classes = X.checkpoint(live.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))  # a checkpoint numbers classes once and for all
-    links = _links(rows, classes, similarity)
+    links, member = _links(rows, classes, similarity)
     degree = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = degree.join(classes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
-    member = components(links)
     known = classes.join(degree, "node", "left").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = X.checkpoint(known.groupBy("component").agg(F.min("rep").alias("class_id")))  # a row per class; the join may then split a large one
     known = known.join(least, "component").select("key", "class_id", "rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
@@ -304,8 +303,8 @@ def _hubs(members: DataFrame) -> DataFrame:
     return members.join(tied, "g")
 
 
-def _links(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: verified links between class nodes, enough to connect all that share a sketch and are copies."""
+def _links(rows: DataFrame, classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """a, b: verified links between class nodes, enough to connect all that share a sketch and are copies; and node, component of those that have a link."""
     band = classes.select("node", "size", F.posexplode("bands").alias("at", "sketch"))
     groups = X.checkpoint(_hubs(band.select(F.xxhash64("at", "sketch").alias("g"), "node", "size")))
     wanted = classes.join(groups.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("id"), "node", "key")
@@ -313,13 +312,23 @@ def _links(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     edges = groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("node").alias("b"), F.col("size").alias("nb")).distinct()
     found = X.checkpoint(_verify(texts, edges, similarity))
     # all members were compared with the hub; the others of a group have to be compared unless links connect them already
-    label = components(found).withColumnRenamed("component", "label")
+    member = components(found)
+    label = member.withColumnRenamed("component", "label")
     others = groups.where("node <> hub").select("g", "node", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = others.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
     others = X.checkpoint(others.join(mixed, "g", "left_semi"))
     if not others.isEmpty():
-        found = found.union(_compare_all(texts, others, similarity))
-    return X.checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = _compare_all(texts, others, similarity)
+        if not more.isEmpty():
+            # components that the new links join, as one node each; links of nodes that had none count as such
+            found = found.union(more)
+            of = lambda c: more.join(label.withColumnRenamed("node", c), c, "left").select("a", "b", F.coalesce("label", c).alias(f"l{c}"))
+            joined = of("a").join(of("b").select("a", "b", "lb"), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            larger = components(joined).withColumnRenamed("node", "label").withColumnRenamed("component", "wider")
+            ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+            every = ends.join(label, "node", "full").withColumn("label", F.coalesce("label", "node"))
+            member = X.checkpoint(every.join(larger, "label", "left").select("node", F.coalesce("wider", "label").alias("component")))
+    return X.checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), member
 
 
 def _compare_all(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
