@@ -4,19 +4,35 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from .bpe_tree import op6_bpe_round_trip
 from .embedding_dedup import op8_embedding_dedup
-from .interpolation import op10_lm_scoring
+from .exchange import read
+from .interpolation import op10_lm_scoring, score_texts
 from .language_id import op5_language_id
 from .licenses import PHRASES, TEMPLATES, op7_license_scan
 from .order_minhash import op1_order_minhash
 from .string_tiling import op4_string_tiling
 from .suffix_array import op9_suffix_array_dedup
 from .suffix_tree import op3_substring_dedup
-from .url_filter import op2_url_filter
+from .url_filter import RULES, op2_url_filter
 
 _FUNCTIONS = (op1_order_minhash, op2_url_filter, op3_substring_dedup, op4_string_tiling, op5_language_id, op6_bpe_round_trip, op7_license_scan, op8_embedding_dedup, op9_suffix_array_dedup, op10_lm_scoring)
-QUERIES = {f.__name__: f for f in _FUNCTIONS}
+
+
+def url_rules(spark, sf_dir):
+    """What op2 decides without its models."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def lm_base(spark, sf_dir):
+    """The exact columns of LM scoring, learned from six documents of seven by id."""
+    found = score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 7 != 2)
+    return found.select("doc_id", *[F.col(f"lm_{c}").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], F.round("lm_base_score", 4).alias("base_score"))
+
+
+QUERIES = {f.__name__: f for f in (*_FUNCTIONS, url_rules, lm_base)}
 
 
 def _template_expression(markup: str) -> str:
@@ -47,7 +63,20 @@ def _license_sql() -> str:
     CASE WHEN len(list_filter(o, lambda l: l IS NOT NULL)) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM c"""
 
 
+def _rules_sql() -> str:
+    tests = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, _, p in sorted((r.partition("/") for r, _ in RULES), key=lambda x: -len("".join(x))))
+    return f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+    SELECT page_id, host, path, CASE {tests} END AS rule FROM h"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "url_rules": _rules_sql(),
+    "lm_base": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(list_append(w, '')) AS t FROM d),
+    c AS (SELECT t, count(*) AS c FROM t WHERE doc_id % 7 <> 2 GROUP BY t),
+    n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+    SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, max(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score FROM t LEFT JOIN c USING (t) CROSS JOIN n GROUP BY doc_id""",
     "op3_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
     k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM s),
