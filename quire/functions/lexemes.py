@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The shapes of lexemes.
-INTEGER = r"^[+-]?[0-9]+$"
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+# The shapes of lexemes, whole texts (\z, as $ would let a last line break through).
+INTEGER = r"^[+-]?[0-9]+\z"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 CLOCK = r"([01][0-9]|2[0-3]):[0-5][0-9]"
-DATETIME = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt]{CLOCK}(:[0-5][0-9](\.[0-9]+)?)?([Zz]|[+-]{CLOCK})?$"
+DATETIME = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt]{CLOCK}(:[0-5][0-9](\.[0-9]+)?)?([Zz]|[+-]{CLOCK})?\z"
 #: In order: the first kind that all values have is the column's.
 KINDS = ("boolean", "integer", "number", "date", "datetime")
 

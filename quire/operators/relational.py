@@ -20,6 +20,10 @@ class Key:
     columns: tuple[str, ...]
     primary: bool = False
 
+    @property
+    def name(self) -> str:
+        return "_".join([self.type_name, *self.columns, "pkey" if self.primary else "key"])
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -30,6 +34,10 @@ class Reference:
     target: str
     target_columns: tuple[str, ...]
 
+    @property
+    def name(self) -> str:
+        return "_".join([self.type_name, *self.columns, *self.target_columns, "fkey"])
+
 
 @dataclass(frozen=True)
 class Constraints:
@@ -63,16 +71,18 @@ def dangling(df: DataFrame, columns: list[str], target: DataFrame, target_column
 
 
 def fields(concepts: DataFrame, names: list[str]) -> DataFrame:
-    """concept columns, and per wanted field (folded name): value (text or null), n (spellings found), structured."""
+    """concept columns, and per wanted field (folded name): value (text or null), n (spellings found), names (those), s (is it structured), kind (as what)."""
     front = F.parse_json("frontmatter_json")
     keys = F.json_object_keys("frontmatter_json")
     out = concepts.select("concept_id", "path", "concept_type", front.alias("__front"), keys.alias("__keys"), "frontmatter_json")
     for i, name in enumerate(names):
         folded = fold(name)
         spelled = F.filter("__keys", lambda k: F.translate(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == folded)
+        out = out.withColumn(f"__names{i}", F.array_join(F.transform(F.array_sort(spelled), quoted), ", "))
         out = out.withColumn(f"__n{i}", F.coalesce(F.size(spelled), F.lit(0))).withColumn(f"__key{i}", F.get(spelled, F.lit(0)))
         entry = F.from_json("frontmatter_json", "map<string,string>")
         raw = F.try_element_at(F.transform_values(F.from_json("frontmatter_json", "map<string,variant>"), lambda k, v: F.schema_of_variant(v)), F.col(f"__key{i}"))
+        out = out.withColumn(f"__kind{i}", F.when(raw.startswith("ARRAY"), F.lit("list")).otherwise(F.lit("dict")))
         out = out.withColumn(f"__s{i}", F.coalesce(~raw.isin("STRING", "VOID"), F.lit(False))).withColumn(f"__v{i}", F.when(raw == "STRING", F.try_element_at(entry, F.col(f"__key{i}"))))
     return out.drop("__front", "__keys", "frontmatter_json")
 
@@ -94,36 +104,46 @@ def _of(concepts: DataFrame, name: str, columns) -> DataFrame:
     return fields(concepts.where(folded), list(columns))
 
 
-def _bad(df: DataFrame, columns, type_name: str) -> list[DataFrame]:
+def quoted(x: Column) -> Column:
+    """A text as messages show it: in single quotation marks, or double ones if only single ones are in it; backslashes, marks and line breaks escaped."""
+    out = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    for sign, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(shown))
+    single = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(x.contains("'") & ~x.contains('"'), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(single)
+
+
+def _tuple(columns) -> Column:
+    """The texts of some columns, as messages show several."""
+    return F.concat(F.lit("("), F.array_join(F.array(*[quoted(F.col(c)) for c in columns]), ", "), F.lit(",)" if len(columns) == 1 else ")"))
+
+
+def _bad(df: DataFrame, columns, name: str) -> list[DataFrame]:
     out = []
     for i, c in enumerate(columns):
-        out.append(rules.rows(df.where(f"__n{i} > 1"), 20, f'constraint column "{c}" is ambiguous'))
-        out.append(rules.rows(df.where(f"__n{i} = 1 and __s{i}"), 20, f'constraint column "{c}" must be a scalar'))
+        many = F.concat(F.lit(f"relational constraint {name!r} cannot resolve column {c!r}: frontmatter keys collide under DuckDB identifier equality: "), F.col(f"__names{i}"))
+        out.append(rules.rows(df.where(f"__n{i} > 1"), 20, many))
+        out.append(rules.rows(df.where(f"__n{i} = 1 and __s{i}"), 20, F.concat(F.lit(f"relational constraint {name!r} requires scalar string column {c!r}; found "), F.col(f"__kind{i}"))))
     return out
 
 
-def _named(columns) -> str:
-    return ", ".join(columns)
-
-
 def _key(concepts: DataFrame, key: Key) -> list[DataFrame]:
     df = _of(concepts, key.type_name, key.columns)
     values = [f"__v{i}" for i in range(len(key.columns))]
-    kind = "primary key" if key.primary else "unique key"
-    bad = _bad(df, key.columns, key.type_name)
+    bad = _bad(df, key.columns, key.name)
     sound = df.where(" and ".join(f"__n{i} <= 1 and not __s{i}" for i in range(len(values))))
     again = duplicate_rows(sound, values, [in_path_order(F.col("path"))], "path")
-    bad.append(rules.rows(again, 21, F.concat(F.lit(f"duplicate {kind} ({_named(key.columns)}); first defined in "), "first_path")))
+    bad.append(rules.rows(again, 21, F.concat(F.lit(f"constraint {key.name!r} on {key.type_name!r} duplicates key "), _tuple(values), F.lit("; first seen at "), "first_path")))
     if key.primary:
-        bad.append(rules.rows(null_keys(sound, values), 21, f"primary key ({_named(key.columns)}) must not be null"))
+        bad.append(rules.rows(null_keys(sound, values), 21, f"primary key {key.name!r} on {key.type_name!r} requires {key.columns!r} to be present"))
     return bad
 
 
 def _reference(concepts: DataFrame, reference: Reference) -> list[DataFrame]:
     df = _of(concepts, reference.type_name, reference.columns)
     target = _of(concepts, reference.target, reference.target_columns)
-    own = [f"__v{i}" for i in range(len(reference.columns))]
-    sound = df.where(" and ".join(f"__n{i} <= 1 and not __s{i}" for i in range(len(own))))
-    lost = dangling(sound, own, target, [f"__v{i}" for i in range(len(reference.target_columns))])
-    said = F.concat(F.lit(f"foreign key ({_named(reference.columns)}) has no match in {reference.target} ({_named(reference.target_columns)}): "), F.concat_ws(", ", *own))
-    return [*_bad(df, reference.columns, reference.type_name), rules.rows(lost, 22, said)]
+    own, other = [f"__v{i}" for i in range(len(reference.columns))], [f"__v{i}" for i in range(len(reference.target_columns))]
+    clean = lambda d, names: d.where(" and ".join(f"__n{i} <= 1 and not __s{i}" for i in range(len(names))))
+    lost = dangling(clean(df, own), own, clean(target, other), other)
+    said = F.concat(F.lit(f"foreign key {reference.name!r} on {reference.type_name!r} has no matching {reference.target!r}{reference.target_columns!r} for "), _tuple(own))
+    return [*_bad(target, reference.target_columns, reference.name), *_bad(df, reference.columns, reference.name), rules.rows(lost, 22, said)]

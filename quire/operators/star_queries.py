@@ -224,12 +224,11 @@ def pk_nulls(spark, sf):
     return relational.null_keys(holed, ["c_custkey", "nation"]).select("c_custkey")
 
 
-@query("""SELECT 'OKF021' AS code, 'part/' || p_partkey || '.md' AS path, 'duplicate unique key (title); first defined in part/' || first_key || '.md' AS message FROM (SELECT p_partkey, row_number() OVER w rn, first_value(p_partkey) OVER w first_key FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey::VARCHAR || '.md')) WHERE rn > 1
-    UNION ALL SELECT 'OKF022', 'customer/' || c_custkey || '.md', 'foreign key (nation) has no match in Supplier (nation): ' || c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+@query("""SELECT 'OKF021' AS code, 'part/' || p_partkey || '.md' AS path, replace('constraint "part_title_key" on "part" duplicates key ("', '"', chr(39)) || p_name || chr(39) || ',); first seen at part/' || first_key || '.md' AS message FROM (SELECT p_partkey, p_name, row_number() OVER w rn, first_value(p_partkey) OVER w first_key FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey::VARCHAR || '.md')) WHERE rn > 1
+    UNION ALL SELECT 'OKF022', 'customer/' || c_custkey || '.md', replace('foreign key "Customer_nation_nation_fkey" on "Customer" has no matching "Supplier"("nation",) for ("' || c_nationkey || '",)', '"', chr(39)) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
 def bundle_constraints(spark, sf):
-    schema = relational.Constraints((relational.Key("part", ("Title",)),), (relational.Reference("Customer", ("nation",), "Supplier", ("nation",)),))
-    found = relational.check_constraints(_concepts(spark, sf), schema).select("code", "path", "message")
-    return found.withColumn("message", F.replace("message", F.lit("(Title)"), F.lit("(title)")))
+    schema = relational.Constraints((relational.Key("part", ("title",)),), (relational.Reference("Customer", ("nation",), "Supplier", ("nation",)),))
+    return relational.check_constraints(_concepts(spark, sf), schema).select("code", "path", "message")
 
 
 # ---- paths
@@ -324,7 +323,15 @@ def typed_null_wins(spark, sf):
     return order.join(rows, "o_orderkey", "left").select("o_orderkey", lookup.typed_or_raw(F.coalesce("has", F.lit(False)), F.col("typed"), F.col("raw")).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_totalprice', 'number'), ('o_day', 'date'), ('o_time', 'datetime'), ('o_flag', 'boolean'), ('o_orderpriority', 'string')) t(field, kind)")
+def _kind_sql(field: str, text: str) -> str:
+    """The vote over a column of texts, from its values."""
+    whole = lambda pattern: f"bool_and(regexp_full_match({text}, '{pattern}'))"
+    real = f"bool_and(try_cast(left({text}, 10) AS DATE) IS NOT NULL)"
+    kinds = (("boolean", f"bool_and(lower({text}) IN ('true', 'false'))"), ("integer", whole("[+-]?[0-9]+")), ("number", whole("[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?")), ("date", f"{whole('[0-9]{4}-[0-9]{2}-[0-9]{2}')} AND {real}"), ("datetime", f"{whole('[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(:[0-9]{2})?[Zz]?')} AND {real}"))
+    return f"SELECT '{field}' AS field, CASE {' '.join(f'WHEN {test} THEN {chr(39)}{kind}{chr(39)}' for kind, test in kinds)} ELSE 'string' END AS kind FROM orders"
+
+
+@query(" UNION ALL ".join(_kind_sql(*x) for x in (("o_orderkey", "o_orderkey::VARCHAR"), ("o_totalprice", "o_totalprice::VARCHAR"), ("o_day", "strftime(o_orderdate, '%Y-%m-%d')"), ("o_time", "strftime(o_orderdate, '%Y-%m-%dT00:00:00Z')"), ("o_flag", "(o_orderstatus = 'F')::VARCHAR"), ("o_orderpriority", "o_orderpriority"))))
 def infer_kinds(spark, sf):
     day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
     cols = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_totalprice").cast("string").alias("o_totalprice"), day.alias("o_day"), F.concat(day, F.lit("T00:00:00Z")).alias("o_time"), (F.col("o_orderstatus") == "F").cast("string").alias("o_flag"), "o_orderpriority")
@@ -337,10 +344,10 @@ def infer_cast_vote(spark, sf):
     return table(spark, sf, "orders").agg(F.count("*").alias("total"), F.count(casts.typed(F.substring("o_orderpriority", 1, 1), big)).alias("as_bigint"), F.count(casts.typed(F.col("o_orderpriority"), big)).alias("whole_bigint"), F.count_if(F.col("o_orderstatus").rlike("^[A-Z]$")).alias("letters"))
 
 
-@query(
-    "SELECT 'Nation' AS concept_type, f AS field, true AS required, false AS nullable FROM (VALUES ('type'), ('title'), ('region')) t(f) UNION ALL SELECT 'Region', f, true, false FROM (VALUES ('type'), ('title')) t(f) UNION ALL SELECT 'Supplier', f, true, false FROM (VALUES ('type'), ('title'), ('nation')) t(f)"
-    " UNION ALL SELECT 'Customer', f, true, false FROM (VALUES ('type'), ('title'), ('segment'), ('nation')) t(f) UNION ALL SELECT 'Part', f, true, false FROM (VALUES ('type'), ('title'), ('brand')) t(f) UNION ALL SELECT 'Order', f, true, false FROM (VALUES ('type'), ('title'), ('priority')) t(f)"
-)
+_FIELDS = {"Nation": ("nation", {"title": "n_name", "region": "n_regionkey"}), "Region": ("region", {"title": "r_name"}), "Supplier": ("supplier", {"title": "s_name", "nation": "s_nationkey"}), "Customer": ("customer", {"title": "c_name", "segment": "c_mktsegment", "nation": "c_nationkey"}), "Part": ("part", {"title": "p_name", "brand": "p_brand"}), "Order": ("orders", {"title": "o_orderkey", "priority": "o_orderpriority"})}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS concept_type, '{f}' AS field, count({c}) = count(*) AS required, count({c}) < count(*) AS nullable FROM {rows}" for t, (rows, columns) in _FIELDS.items() for f, c in {"type": "'x'", **columns}.items()))
 def presence_nullability(spark, sf):
     from ..plans.contract import field_facts
 
@@ -364,13 +371,13 @@ def spelling_collision(spark, sf):
 
 
 _CANDIDATES = ("BOOLEAN", "BIGINT", "DOUBLE", "DATE", "TIMESTAMPTZ")
-_VOTED = {"day": "strftime(o_orderdate, '%Y-%m-%d')", "price": "o_totalprice::VARCHAR", "key": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey::VARCHAR END", "status": "o_orderstatus"}
+_VOTED = {"day": "strftime(o_orderdate, '%Y-%m-%d')", "price": "o_totalprice::VARCHAR", "padded": "'0' || o_custkey", "key": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey::VARCHAR END", "status": "o_orderstatus"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS field, '{c}' AS candidate, count({e}) AS filled, count(TRY_CAST({e} AS {c})) AS clean FROM orders" for f, e in _VOTED.items() for c in _CANDIDATES))
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, '{c}' AS candidate, count({e}) AS filled, count(TRY_CAST({e} AS {c})){f' FILTER (WHERE CAST(TRY_CAST({e} AS {c}) AS VARCHAR) = {e})' if c in ('BIGINT', 'DATE') else ''} AS clean FROM orders" for f, e in _VOTED.items() for c in _CANDIDATES))
 def cast_vote(spark, sf):
     order = table(spark, sf, "orders")
-    texts = order.select(F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"), F.col("o_totalprice").cast("string").alias("price"), F.expr("case when o_orderkey % 5 > 0 then cast(o_orderkey as string) end").alias("key"), F.col("o_orderstatus").alias("status"))
+    texts = order.select(F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"), F.col("o_totalprice").cast("string").alias("price"), F.concat(F.lit("0"), "o_custkey").alias("padded"), F.expr("case when o_orderkey % 5 > 0 then cast(o_orderkey as string) end").alias("key"), F.col("o_orderstatus").alias("status"))
     return typed.cast_vote(texts, list(_VOTED))
 
 

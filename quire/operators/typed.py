@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import LogicalType, logical_type, typed
-from ..functions.lexemes import KINDS
 from ..functions.paths import fold, fold_column
 from ..model import INTERNAL
 from ..plans.contract import facts, observations, structured_fields
@@ -125,24 +124,35 @@ class TypedRelations:
 CANDIDATES = (("BOOLEAN", "boolean"), ("BIGINT", "integer"), ("DOUBLE", "number"), ("DATE", "date"), ("TIMESTAMPTZ", "datetime"))
 
 
+#: Candidates that count only where the value's text is what the text was.
+EXACT = ("BIGINT", "DATE")
+
+
+def takes(x: Column, sql: str) -> Column:
+    """Does a candidate type take a text? Narrowing ones only what they give back unchanged."""
+    value = typed(x, logical_type(sql))
+    return value.isNotNull() & (value.cast("string") == x) if sql in EXACT else value.isNotNull()
+
+
 def starter(concepts: DataFrame) -> dict[str, str]:
-    """A starter declaration for each type: the first candidate that all values spell, else text; fields without a value are left out."""
+    """A starter declaration for each type: the first candidate that takes all values, else text; fields without a value are left out."""
+    kinds = F.transform_values(F.from_json("frontmatter_json", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    entries = concepts.where("concept_type <> ''").select("concept_type", F.explode(F.map_entries(F.from_json("frontmatter_json", "map<string,string>"))).alias("e"), kinds.alias("kinds"))
+    values = entries.select("concept_type", F.col("e.key").alias("name"), F.col("e.value").alias("x"), F.try_element_at("kinds", F.col("e.key")).alias("kind")).where("name <> 'type'")
+    counts = [F.count(F.when(F.col("kind") == "STRING", F.lit(1))).alias("n"), F.count(F.when(~F.col("kind").isin("STRING", "VOID"), F.lit(1))).alias("other")]
+    counts += [F.count(F.when((F.col("kind") == "STRING") & takes(F.col("x"), sql), F.lit(1))).alias(sql) for sql, _ in CANDIDATES]
     out: dict[str, dict[str, str]] = {}
-    for r in facts(concepts).where(F.size("path") == 1).orderBy("concept_type", "path").collect():
-        name = r["path"][0]
-        if not r["concept_type"] or name == "type" or r["lists"] or r["objects"] or not r["scalars"]:
-            continue
-        kind = next((sql for sql, k in CANDIDATES if k in KINDS and r[f"is_{k}"]), "VARCHAR")
-        out.setdefault(r["concept_type"], {})[name] = kind
+    for r in values.groupBy("concept_type", "name").agg(*counts).where("n > 0 and other = 0").orderBy("concept_type", "name").collect():
+        out.setdefault(r["concept_type"], {})[r["name"]] = next((sql for sql, _ in CANDIDATES if r[sql] == r["n"]), "VARCHAR")
     return {t: ddl(t, columns) for t, columns in out.items()}
 
 
 def cast_vote(df: DataFrame, columns: list[str]) -> DataFrame:
-    """field, candidate, filled, clean: how many values each candidate type takes, in one pass over all columns."""
+    """field, candidate, filled, clean: how many values each candidate type takes (BIGINT and DATE only what they give back unchanged), in one pass over all columns."""
     made = []
     for c in columns:
         for sql, _ in CANDIDATES:
-            made.append(F.struct(F.lit(c).alias("field"), F.lit(sql).alias("candidate"), F.count(c).alias("filled"), F.count(typed(F.col(c), logical_type(sql))).alias("clean")))
+            made.append(F.struct(F.lit(c).alias("field"), F.lit(sql).alias("candidate"), F.count(c).alias("filled"), F.count(F.when(takes(F.col(c), sql), F.lit(1))).alias("clean")))
     return df.agg(F.array(*made).alias("v")).select(F.explode("v").alias("v")).select("v.*")
 
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions.formatting import format_bundle
-from .functions.paths import in_path_order
 from .operators import apply, bundle, imports, typed
 from .plans import contract
 from .plans.declared import discover
@@ -29,14 +27,15 @@ def inventory(spark: SparkSession, root: str, exclude=(), digests: bool = False)
     loaded = bundle.load_bundle(spark, root, exclude)
     out = {"root": root, "types": [r.asDict() for r in loaded.inventory().collect()]}
     if digests:
-        out["digests"] = [r.asDict() for r in loaded.concepts.select("concept_id", "path", "source_digest", "parsed_digest").orderBy(in_path_order(F.col("path"))).collect()]
+        out["digests"] = [r.asDict() for r in loaded.concepts.select("concept_id", "path", "source_digest", "parsed_digest").orderBy("path").collect()]
     loaded.close()
     return out
 
 
 def graph(spark: SparkSession, root: str, exclude=()) -> dict:
     loaded = bundle.load_bundle(spark, root, exclude)
-    out = {"root": root} | loaded.summary().first().asDict()
+    found = loaded.summary().first()
+    out = {"root": root, "nodes": found["nodes"], "edges": found["edges"], "weakly_connected_components": found["weak_components"], "strongly_connected_components": found["strong_components"], "directed_acyclic": found["is_dag"]}
     loaded.close()
     return out
 

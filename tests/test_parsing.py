@@ -155,3 +155,27 @@ def test_exclusion_wants_a_list():
 def test_format(text, made):
     assert formatting.canonical(text) == made
     assert formatting.canonical(made) == made
+
+
+def test_lexemes_are_whole_texts(spark):
+    """A line break at the end makes it another text."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import lexemes
+
+    texts = ["12", "1.5", "2024-02-29", "2024-02-29T10:00:00Z"]
+    rows = spark.createDataFrame([(t, t + "\n") for t in texts], "a string, b string")
+    for kind, i in (("integer", 0), ("number", 1), ("date", 2), ("datetime", 3)):
+        r = rows.where(F.col("a") == texts[i]).select(lexemes.is_kind(F.col("a"), kind), lexemes.is_kind(F.col("b"), kind)).first()
+        assert tuple(r) == (True, False)
+
+
+def test_names_and_casts():
+    from quire.plans import contract
+
+    assert [contract.model_name(t, "") for t in ("my type", "9 lives", "???", "água/x_y")] == ["MyType", "Concept9Lives", "Concept", "ÁguaXY"]
+    with pytest.raises(contract.NameCollisionError, match="'a b' and 'a-b' both normalize to 'AB'"):
+        contract.unique_names(["a-b", "a b"], "")
+    assert contract.parse_casts(["n=Integer", " a.b = DATE ", "n=number"]) == {"n": "number", "a.b": "date"}
+    with pytest.raises(contract.CastError, match="invalid cast 'n=money'; expected FIELD=TYPE, where TYPE is boolean, date"):
+        contract.parse_casts(["n=money"])

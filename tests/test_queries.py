@@ -51,7 +51,7 @@ def test_services(spark, tmp_path):
     root = str(tmp_path)
     assert cli.run(spark, ["check", root, "--classification"])[0] == 0
     assert cli.run(spark, ["inventory", root, "--digests"])[1]["types"] == [{"concept_type": "T", "n": 1}, {"concept_type": "U", "n": 1}]
-    assert cli.run(spark, ["graph", root])[1]["is_dag"] is True
+    assert cli.run(spark, ["graph", root])[1]["directed_acyclic"] is True
     for kind in ("json", "zod", "pydantic", "graphql", "struct"):
         assert cli.run(spark, ["schema", root, "--kind", kind, "--infer"])[1]
     assert cli.run(spark, ["format", root])[0] == 0
