@@ -15,6 +15,7 @@ that a lost executor cannot change which rows a chunk holds.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Sequence
@@ -44,6 +45,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between two rounds: the shuffle files of the first are deleted only when the driver's JVM notices, by collecting its garbage, that nothing refers to them. This asks it to, once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow(df: DataFrame) -> DataFrame:
     """``df``, with batches to Python workers bounded in bytes: ten thousand rows of long texts don't fit a small worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
