@@ -15,7 +15,6 @@ that a lost executor cannot change which rows a chunk holds.
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 from collections.abc import Sequence
@@ -32,6 +31,7 @@ BUCKET_BYTES = 12_000_000
 GROWS_FROM = 64 << 30  #: bytes of text above which chunks and buckets grow with their root
 MOST = 32  #: times: what a worker of four gigabytes holds
 BATCH_BYTES = 8_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK_SCHEMA = "chunk_id long, kind int, bucket int, n_bytes long, data binary"
 
 
@@ -42,13 +42,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not context.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Between two rounds: the shuffle files of the first are deleted only when the driver's JVM notices, by collecting its garbage, that nothing refers to them. This asks it to, once."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return once(df).checkpoint(eager=True)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` as a query whose shuffle files Spark deletes when its action ends. For actions whose result is kept (a checkpoint, rows at the driver), so that nothing is computed from these files again; until the action ends they serve retries as ever."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*")  # a query has the setting that holds when it is made
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def arrow(df: DataFrame) -> DataFrame:

@@ -218,10 +218,8 @@ def score_texts(df: DataFrame, train: Column, text_col: str = "text", out: str =
         own, number = np.unique(cell, return_counts=True)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(own, pa.int64()), "n": pa.array(number, pa.int64())})
 
-    X.release(df.sparkSession)
     # at most contexts * levels ** 2 cells come to the driver: 400,000 for 10 ** 13 tokens
-    seen = X.absorb(chunks, counts, evidence, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    X.release(df.sparkSession)
+    seen = X.once(X.absorb(chunks, counts, evidence, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))).collect()
     weights = learn_weights(grid, np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.float64), uniform)
     more = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, inner.schema.fields)] + more)

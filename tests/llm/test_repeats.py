@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import exchange as X
 from quire.llm import repeats as R
@@ -172,3 +173,11 @@ def test_very_long_texts(spark):
     assert found == {2: (len(long) + 2, 0), 5: (len(long), len(long)), 9: (5, 0)}
     found = {r[0]: tuple(r[1:3]) for r in _tree(spark, rows).collect()}
     assert found == {2: (330_001, 330_000), 5: (330_000, 330_000), 9: (1, 0)}
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    counted = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    mode = lambda df: df._jdf.queryExecution().shuffleCleanupMode().toString()
+    assert mode(X.once(counted)).startswith("RemoveShuffleFiles") and mode(counted).startswith("DoNotCleanup")
+    assert spark.conf.get(X.CLEANUP, None) is None
+    assert X.checkpoint(counted).count() == counted.count() == 7
