@@ -35,6 +35,7 @@ from . import exchange as X
 LEAF = 256  #: characters of a text that are encoded by themselves
 PIECE = 64  #: bytes of a match that are merged by themselves
 KNOWN = 1 << 18  #: short matches whose tokens a worker remembers
+PAIRS = 1 << 16  #: pairs of tokens of which a worker remembers whether they are compatible
 #: Unicode's White_Space, as a class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SAFE = regex.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
@@ -56,8 +57,8 @@ class TreeEncoder:
             self.bytes_of[rank] = token
         found = regex.compile(pattern)
         self.matches = (lambda t: [m.group() for m in found.finditer(t)]) if found.groups else found.findall
-        self.compatible = functools.lru_cache(1 << 16)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
         self.known: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     # -- text
 
@@ -131,6 +132,15 @@ class TreeEncoder:
                 return left[: len(left) - i] + middle + right[j:]
             i, j = min(len(left), 2 * i) if more_left else i, min(len(right), 2 * j) if more_right else j
 
+    def compatible(self, a: int, b: int) -> bool:
+        """Do two tokens stay as they are beside each other?"""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return found
+
     def merge(self, data: bytes) -> list[int]:
         """Pairs by least rank, leftmost first, until none merges. The pieces are short, so all pairs are looked at again each time."""
         ranks = self.ranks
@@ -160,7 +170,17 @@ class TreeEncoder:
         return self.decode(ids[: n // 2]) + self.decode(ids[n // 2 :])
 
 
-@functools.lru_cache(4)
+class Vocabulary:
+    """What goes to the workers. A worker makes the encoder when it first needs it; what it remembers goes with the broadcast, when Spark gives the worker to another query."""
+
+    def __init__(self, ranks_file: bytes, pattern: str):
+        self.ranks_file, self.pattern = ranks_file, pattern
+
+    @functools.cached_property
+    def tree(self) -> TreeEncoder:
+        return encoder(self.ranks_file, self.pattern)
+
+
 def encoder(ranks_file: bytes, pattern: str) -> TreeEncoder:
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
     return TreeEncoder(ranks, pattern)
@@ -173,8 +193,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = N
     with the function; its path is only read by the driver."""
     path, own = (None, None) if ranks_path and pattern else default_vocabulary()
     with open(ranks_path or path, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
-    pattern = pattern or own
+        shared = df.sparkSession.sparkContext.broadcast(Vocabulary(f.read(), pattern or own))
     fields = df.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     at = [f.name for f in fields].index(text_col)
@@ -182,7 +201,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = N
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, inner.schema.fields)] + [T.StructField("ids", T.BinaryType())] + [T.StructField("back", T.BinaryType())] * decode)
 
     def run(batches):
-        tree = encoder(shared.value, pattern)
+        tree = shared.value.tree
         for whole in batches:
             for batch in X.slices(whole, names[at], 4 * X.CHUNK_BYTES):
                 ids, back = [], []
@@ -201,12 +220,11 @@ def bpe_decode(df: DataFrame, ids_col: str = "token_ids", ranks_path: str | None
     """All columns, and ``decoded_col`` (binary): the bytes of the packed ids; null ids decode to nothing."""
     path, own = (None, None) if ranks_path and pattern else default_vocabulary()
     with open(ranks_path or path, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
-    pattern = pattern or own
+        shared = df.sparkSession.sparkContext.broadcast(Vocabulary(f.read(), pattern or own))
 
     @F.pandas_udf("binary")
     def back(ids):
-        tree = encoder(shared.value, pattern)
+        tree = shared.value.tree
         return ids.map(lambda x: tree.decode(np.frombuffer(x or b"", "<u4").tolist()))
 
     return df.withColumn(decoded_col, back(F.col(ids_col)))
