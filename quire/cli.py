@@ -32,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     command("format", flag("--write"))
     command("apply", text("--sql", required=True), flag("--write"), template, text("--expected-token"))
     command("import", text("--source", required=True), text("--type", required=True), text("--id-column"), flag("--write"), flag("--overwrite"), text("--on-conflict", default="skip"), text("--expected-token"))
-    command("init", text("--template", required=True), flag("--schemas"))
+    command("init", text("--template", required=True), flag("--schemas"), flag("--write"))
     command("export", text("--database", required=True), flag("--overwrite"), template)
     return p
 
@@ -58,7 +58,8 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[int, object]:
         out = service.import_rows(spark, a.source, a.root, a.type, a.id_column, a.write, a.overwrite, a.on_conflict, a.expected_token)
         return (1 if out["duplicate_ids"] or out["conflicting_existing"] else 0), out
     if a.command == "init":
-        return 0, service.init(spark, a.root, a.template, a.schemas, a.exclude)
+        out = service.init(spark, a.root, a.template, a.schemas, a.exclude, a.write)
+        return (1 if any(x["collisions"] for x in out.values()) else 0), out
     return 0, service.export(spark, a.root, a.database, a.overwrite, a.spec_template, a.exclude)
 
 

@@ -19,10 +19,10 @@ from ..functions.paths import fold
 from ..model import ERROR, INTERNAL
 from ..plans.contract import observations, spelling_collisions, structured_fields
 from ..plans.declared import discover as discover_declarations
-from ..plans.sqltext import SqlError, write_script
+from ..plans.sqltext import write_script
 from ..sources.snapshot import EditError, Snapshot, StaleError, edit_frontmatter, replace_files, same_token, token
 from .bundle import Bundle, validate_path
-from .diff import ID, Write, WriteError
+from .diff import ID, Write, WriteError, tampered
 from .parse import parse_documents
 from .typed import body_lines
 
@@ -78,6 +78,8 @@ def compile_write(concepts: DataFrame, sql: str, declared: Mapping[str, tuple[st
             continue
         values[name] = F.expr(text).cast("string")
     write.update(F.expr(update.where) if update.where else F.lit(True), **values)
+    if not tampered(table, write.rows(), ID, list(PROTECTED)).isEmpty():
+        raise WriteError("a write changes what identifies a row")
     return write.row_diff(authored)
 
 
@@ -121,10 +123,8 @@ def _errors(spark, root: str, exclude) -> set[tuple]:
 
 def replace_values(spark: SparkSession, root: str, concept_type: str, field: str, old: str, new: str, **options) -> dict:
     """UPDATE of one value by another."""
-    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "''") + "'"
     name = lambda s: '"' + s.replace('"', '""') + '"'
-    if "'" in old + new:
-        raise SqlError("values with quotation marks have to be written as SQL")
     return apply_sql(spark, root, f"UPDATE {name(concept_type)} SET {name(field)} = {text(new)} WHERE {name(field)} = {text(old)}", **options)
 
 
@@ -153,36 +153,36 @@ def edit_body(spark: SparkSession, root: str, concept_id: str, body: str, expect
     return result
 
 
-def scaffold(spark: SparkSession, root: str, template: str, with_schemas: bool = False, exclude=()) -> dict:
-    """Specification stubs, and starter declarations, for types that have none. Nothing is overwritten; types that share a path block all."""
+def scaffold(spark: SparkSession, root: str, template: str, with_schemas: bool = False, exclude=(), write: bool = False) -> dict:
+    """Specification stubs, and starter declarations, for types that have none: what would be made, or with ``write`` what was. Nothing is overwritten; types that share a path block all files of a kind."""
     from ..functions.paths import declaration_path, spec_path
     from .bundle import load_bundle
     from .typed import starter
 
     bundle = load_bundle(spark, root, exclude)
-    types = sorted(t for t in bundle.concept_types if t)
-    want: dict[str, list[tuple[str, str]]] = {}
-    for t in types:
-        if (p := spec_path(template, t)) is not None:
-            want.setdefault(p, []).append((t, f"---\ntype: Spec\ntitle: {_title(t)}\n---\n\n# {t}\n"))
-    if with_schemas:
-        for t, text in starter(bundle.concepts).items():
-            if (p := declaration_path(template, t)) is not None:
-                want.setdefault(p, []).append((t, text))
+    stubs = {t: STUB.format(t) for t in bundle.concept_types if t}
+    starters = starter(bundle.concepts) if with_schemas else {}
     bundle.close()
-    if shared := {p: [t for t, _ in v] for p, v in want.items() if len(v) > 1}:
-        raise WriteError(f"types share a path: {shared}")
-    created, existing = [], []
-    for p, [(_, text)] in sorted(want.items()):
-        target = Path(root) / p
-        if target.exists():
-            existing.append(p)
-            continue
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(text, encoding="utf-8")
-        created.append(p)
-    return {"created": created, "existing": existing}
+    out = {"specs": _create(root, {t: (spec_path(template, t), text) for t, text in stubs.items()}, write)}
+    if with_schemas:
+        out["schemas"] = _create(root, {t: (declaration_path(template, t), text) for t, text in starters.items()}, write)
+    return out
 
 
-def _title(text: str) -> str:
-    return json.dumps(text, ensure_ascii=False)
+#: Fixed value: what a specification starts as.
+STUB = "---\ntype: Spec\n---\n\n# {}\n\nTODO: describe this type's frontmatter fields and semantics.\n"
+
+
+def _create(root: str, wanted: Mapping[str, tuple[str | None, str]], write: bool) -> dict:
+    """Makes the files that aren't there. wanted: type, with its path (None: it has none) and text."""
+    owners: dict[str, list[str]] = {}
+    for t, (path, _) in sorted(wanted.items()):
+        if path is not None:
+            owners.setdefault(path, []).append(t)
+    shared = [{"path": p, "types": t} for p, t in sorted(owners.items()) if len(t) > 1]
+    missing = [] if shared else sorted(p for p in owners if not (Path(root) / p).is_file())
+    for p in missing if write else ():
+        target = Path(root) / p
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(wanted[owners[p][0]][1], encoding="utf-8")
+    return {"created": missing if write else [], "would_create": [] if write else missing, "collisions": shared, "written": write and not shared}

@@ -12,21 +12,21 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..model import INTERNAL
+from ..plans import contract
 from . import lookup
 from .bundle import Bundle
 from .typed import TypedRelations
 
 _TOKEN = re.compile(r'(?P<skip>[\s,]+|#[^\n]*)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[_A-Za-z]\w*)|(?P<sign>\.\.\.|[{}()\[\]:$!=@])')
 #: Fields of every concept, by their names in queries.
-FIELDS = {"id": "concept_id", "path": "path", "type": "concept_type", "title": "title", "description": "description", "body": "body", "sourceDigest": "source_digest", "parsedDigest": "parsed_digest"}
-NESTED = {"links": {"rawTarget": "raw_target", "targetId": "target_id", "exists": "exists", "origin": "origin"}, "linkedFrom": {"sourceId": "source_id", "rawTarget": "raw_target", "origin": "origin"}, "diagnostics": {"code": "code", "severity": "severity", "message": "message"}}
-_COLUMN = {"links": "links", "linkedFrom": "linked_from", "diagnostics": "diagnostics"}
+FIELDS = {"id": "concept_id", "logicalKey": "logical_key", "path": "path", "type": "concept_type", "title": "title", "description": "description", "body": "body", "sourceDigest": "source_digest", "parsedDigest": "parsed_digest"}
 
 
 class QueryError(ValueError):
@@ -151,10 +151,17 @@ def json_ready(value):
 
 
 class ReadAdapter:
-    """Queries over one bundle; typed relations, where there are any, give a field's value, even a null."""
+    """Queries over one bundle; typed relations, where there are any, give a field's value, even a null.
 
-    def __init__(self, bundle: Bundle, typed: TypedRelations | None = None):
-        self.bundle, self.typed = bundle, typed
+    With contracts, types and fields go by the names of ``sdl()`` and others are refused; without, by their authored names, and a field that a document lacks is null."""
+
+    def __init__(self, bundle: Bundle, typed: TypedRelations | None = None, contracts: Sequence[contract.Contract] | None = None):
+        self.bundle, self.typed, self.contracts = bundle, typed, contracts
+        self._types = contract.graphql_types(contracts or ())
+        self._fields = {c.concept_type: {shown: own for own, shown in contract.graphql_fields(c).items()} for c in contracts or ()}
+
+    def sdl(self) -> str:
+        return contract.render_graphql(self.contracts or ())
 
     def execute(self, query: str, variables: Mapping | None = None) -> dict:
         """data and errors, ready for JSON."""
@@ -186,32 +193,55 @@ class ReadAdapter:
 
     def _records(self, page: DataFrame, s: Selection) -> list[dict]:
         asked = {f.name for f in s.fields} | {g.name for f in s.fields for g in f.fields if f.on}
-        nested = asked & set(NESTED)
+        nested = asked & {"links", "reverseLinks", "diagnostics"}
         rows = (lookup.records(page, self.bundle.links, self.bundle.diagnostics) if nested else page).orderBy("concept_id").collect()
-        return [self._record(r, s, self._typed_row(r)) for r in rows]
-
-    def _typed_row(self, row: Row) -> dict | None:
-        if self.typed is None or row["concept_type"] not in list(self.typed):
-            return None
-        found = self.typed[row["concept_type"]].where(f"{INTERNAL}path = '{row['path']}'").limit(1).collect() if "'" not in row["path"] else []
-        return found[0].asDict() if found else None
+        typed = self._typed_rows(rows)
+        return [self._record(r, s, typed.get(r["path"])) for r in rows]
+
+    def _typed_rows(self, rows: list[Row]) -> dict[str, dict]:
+        """path: typed row, by one query a type of the page."""
+        key, out = INTERNAL + "path", {}
+        for t in sorted({r["concept_type"] for r in rows} & set(self.typed or ())):
+            paths = [r["path"] for r in rows if r["concept_type"] == t]
+            out |= {r[key]: r.asDict() for r in self.typed[t].where(F.col(key).isin(paths)).collect()}
+        return out
 
     def _record(self, row: Row, s: Selection, typed: dict | None) -> dict:
+        kind = row["concept_type"]
+        shown = self._types.get(kind, kind)
         front = json.loads(row["frontmatter_json"])
         out = {}
         for f in s.fields:
             if f.on is not None:
-                if f.on in ("Concept", row["concept_type"]):
+                if f.on in ("Concept", shown):
                     out |= self._record(row, f, typed)
             elif f.name == "__typename":
-                out[f.alias] = row["concept_type"] or "concept"
+                out[f.alias] = shown or "concept"
             elif f.name in FIELDS:
                 out[f.alias] = row[FIELDS[f.name]]
-            elif f.name in NESTED:
-                names = NESTED[f.name]
-                if unknown := [g.name for g in f.fields if g.name not in names]:
-                    raise QueryError(f"there is no field {unknown[0]!r}")
-                out[f.alias] = [{g.alias: json_ready(item[names[g.name]]) for g in f.fields} for item in row[_COLUMN[f.name]]]
+            elif f.name == "frontmatter":
+                out[f.alias] = front
+            elif f.name in ("links", "reverseLinks", "diagnostics"):
+                out[f.alias] = [_nested(item, f) for item in _items(row, f.name)]
             else:
-                out[f.alias] = json_ready(typed[f.name] if typed is not None and f.name in typed else front.get(f.name))
+                own = f.name if self.contracts is None else self._fields.get(kind, {}).get(f.name)
+                if own is None:
+                    raise QueryError(f"there is no field {f.name!r} on {shown!r}")
+                out[f.alias] = json_ready(typed[own] if typed is not None and own in typed else front.get(own))
         return out
+
+
+def _items(row: Row, name: str) -> list[dict]:
+    """Links, reverse links or diagnostics of a concept, as queries name their parts."""
+    me = row["concept_id"]
+    if name == "links":
+        return [{"sourceId": me, "rawTarget": x["raw_target"], "targetId": x["target_id"], "exists": x["exists"], "origin": x["origin"]} for x in row["links"]]
+    if name == "reverseLinks":
+        return [{"sourceId": x["source_id"], "rawTarget": x["raw_target"], "targetId": me, "exists": True, "origin": x["origin"]} for x in row["linked_from"]]
+    return [{"code": x["code"], "severity": x["severity"], "path": row["path"], "message": x["message"]} for x in row["diagnostics"]]
+
+
+def _nested(item: dict, s: Selection) -> dict:
+    if unknown := [g.name for g in s.fields if g.name not in item]:
+        raise QueryError(f"there is no field {unknown[0]!r}")
+    return {g.alias: json_ready(item[g.name]) for g in s.fields}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts, lexemes, paths
@@ -175,7 +175,7 @@ def graph_summary(spark, sf):
 @query("SELECT count(*) AS nodes, count(*) AS edges, 1::BIGINT AS weak_components, 1::BIGINT AS strong_components, false AS is_dag FROM nation")
 def graph_cycle(spark, sf):
     nation = table(spark, sf, "nation")
-    n = F.count("*").over(Window.partitionBy())
+    n = nation.agg(F.count("*")).scalar()
     ring = nation.select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") + 1) % n).alias("target"))
     return graph.summary(nation.select("n_nationkey"), ring)
 
@@ -277,7 +277,7 @@ def classify_paths(spark, sf):
 def ingest_envelope(spark, sf):
     front = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit('---\ntype: "'), "c_mktsegment", F.lit('"\n---\n')))
     customer = table(spark, sf, "customer")
-    made = customer.select((F.col("c_custkey") - F.min("c_custkey").over(Window.partitionBy())).alias("ordinal"), path("c", "c_custkey").alias("path"), F.concat(front, "c_name").alias("content"))
+    made = customer.select((F.col("c_custkey") - customer.agg(F.min("c_custkey")).scalar()).alias("ordinal"), path("c", "c_custkey").alias("path"), F.concat(front, "c_name").alias("content"))
     return bundle.envelopes(made, {"identity", "body"}).select("ordinal", "path", "size", "classification", "body")
 
 

@@ -157,9 +157,9 @@ def cast_vote(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def export(spark: SparkSession, relations: Mapping[str, DataFrame], database: str, overwrite: bool = False, comments: Mapping[str, str] | None = None) -> dict[str, int]:
-    """Tables of a database, all or none: written beside the old ones first, then swapped in. Returns their rows.
+    """Tables of a database, all or none: written beside the old ones first, then swapped in; an old table is dropped only when the new one has its name. Returns their rows.
 
-    Names that a catalog can't take are slugged; the authored name stays as a table property."""
+    Names that a catalog can't take are slugged; the authored name stays as a table property. Comments on a table and its columns outlive it, unless another is given."""
     import re
 
     from ..functions.paths import type_slug
@@ -167,13 +167,14 @@ def export(spark: SparkSession, relations: Mapping[str, DataFrame], database: st
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", database):
         raise ValueError(f"not a database name: {database!r}")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    there = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}
+    there = _restore(spark, database)
     names = {n: n if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", n) else type_slug(n).replace("-", "_") or f"type_{n.encode().hex()}" for n in relations}
     if len(set(map(str.lower, names.values()))) < len(names):
         raise ValueError("two relations have one table name")
     clash = sorted(n for n in names.values() if n.lower() in there)
     if clash and not overwrite:
         raise FileExistsError(f"{database} already has {', '.join(clash)}")
+    kept = {n: _comments(spark, f"{database}.{t}") for n, t in names.items() if t.lower() in {x.lower() for x in there}}
     staged = []
     try:
         for name, table in names.items():
@@ -185,11 +186,40 @@ def export(spark: SparkSession, relations: Mapping[str, DataFrame], database: st
         raise
     counts = {}
     for name, table in names.items():
-        spark.sql(f"DROP TABLE IF EXISTS {database}.{table}")
-        spark.sql(f"ALTER TABLE {database}.{table}__new RENAME TO {database}.{table}")
-        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(f"ALTER TABLE {database}.{table} SET TBLPROPERTIES ('authored_name' = '{quoted}')")
-        if comments and comments.get(name):
-            spark.sql(f"COMMENT ON TABLE {database}.{table} IS '" + comments[name].replace("\\", "\\\\").replace("'", "\\'") + "'")
-        counts[name] = spark.table(f"{database}.{table}").count()
+        at = f"{database}.{table}"
+        said, columns = kept.get(name, (None, {}))
+        said = (comments or {}).get(name) or said
+        spark.sql(f"ALTER TABLE {at}__new SET TBLPROPERTIES ('authored_name' = {_literal(name)})")
+        if said:
+            spark.sql(f"COMMENT ON TABLE {at}__new IS {_literal(said)}")
+        for column, text in columns.items():
+            if column in relations[name].columns and "comment" not in relations[name].schema[column].metadata:
+                spark.sql(f"ALTER TABLE {at}__new ALTER COLUMN `{column.replace('`', '``')}` COMMENT {_literal(text)}")
+        spark.sql(f"DROP TABLE IF EXISTS {at}__old")
+        if name in kept:
+            spark.sql(f"ALTER TABLE {at} RENAME TO {at}__old")
+        spark.sql(f"ALTER TABLE {at}__new RENAME TO {at}")
+        spark.sql(f"DROP TABLE IF EXISTS {at}__old")
+        counts[name] = spark.table(at).count()
     return counts
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _restore(spark: SparkSession, database: str) -> set[str]:
+    """Tables of a database, after those are put back that an export had set aside when it was stopped."""
+    there = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}
+    for old in sorted(n for n in there if n.endswith("__old")):
+        name = old.removesuffix("__old")
+        if name not in there:
+            spark.sql(f"ALTER TABLE {database}.{old} RENAME TO {database}.{name}")
+            there = there - {old} | {name}
+    return there
+
+
+def _comments(spark: SparkSession, table: str) -> tuple[str | None, dict[str, str]]:
+    """A table's comment, and its columns' comments."""
+    columns = {c.name: c.description for c in spark.catalog.listColumns(table) if c.description}
+    return spark.catalog.getTable(table).description, columns

@@ -140,6 +140,11 @@ def test_typed_relations(spark, tmp_path):
         declared.declare("SELECT 1", "Rotina")
     counts = typed.export(spark, {"concepts": loaded.concepts, "revisão x": loaded.links}, "kb_test", True)
     assert counts["concepts"] == 2 and spark.table("kb_test.revisao_x").count() == 0
+    spark.sql("COMMENT ON TABLE kb_test.concepts IS 'ours'")
+    spark.sql("ALTER TABLE kb_test.concepts ALTER COLUMN title COMMENT 'its name'")
+    typed.export(spark, {"concepts": loaded.concepts}, "kb_test", True)
+    assert typed._comments(spark, "kb_test.concepts") == ("ours", {"title": "its name"})
+    spark.sql("ALTER TABLE kb_test.concepts RENAME TO kb_test.concepts__old")  # an export that was stopped
     with pytest.raises(FileExistsError):
         typed.export(spark, {"concepts": loaded.concepts}, "kb_test")
     with pytest.raises(ValueError):
@@ -238,8 +243,16 @@ def test_apply(spark, tmp_path):
     with pytest.raises(StaleError):
         apply.edit_body(spark, root, "a", "x", expected_source_digest="sha256:0")
     assert apply.replace_values(spark, root, "U", "s", "old", "newer", write=True)["changed"] == ["c.md"]
-    made = apply.scaffold(spark, root, "spec/{slug}.md", True)
-    assert sorted(made["created"]) == ["spec/t.md", "spec/t.schema.sql", "spec/u.md", "spec/u.schema.sql"] and apply.scaffold(spark, root, "spec/{slug}.md", True)["existing"]
+    assert apply.replace_values(spark, root, "U", "s", "newer", "it's \\ \"so\"", write=True)["changed"] == ["c.md"]
+    assert apply.replace_values(spark, root, "U", "s", "it's \\ \"so\"", "old")["changed"] == ["c.md"]
+    plan = apply.scaffold(spark, root, "spec/{slug}.md", True)
+    assert plan["specs"] == {"created": [], "would_create": ["spec/t.md", "spec/u.md"], "collisions": [], "written": False} and not (tmp_path / "spec").exists()
+    made = apply.scaffold(spark, root, "spec/{slug}.md", True, write=True)
+    assert made["specs"]["created"] == ["spec/t.md", "spec/u.md"] and made["schemas"]["created"] == ["spec/t.schema.sql", "spec/u.schema.sql"]
+    assert (tmp_path / "spec/t.md").read_text().startswith("---\ntype: Spec\n---\n\n# T\n")
+    write(tmp_path, {"d.md": "---\ntype: t\n---\n"})
+    clash = apply.scaffold(spark, root, "kinds/{slug}.md", write=True)["specs"]
+    assert clash["collisions"] == [{"path": "kinds/t.md", "types": ["T", "t"]}] and not clash["written"] and not (tmp_path / "kinds").exists()
 
 
 def test_import(spark, tmp_path):

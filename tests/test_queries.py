@@ -98,13 +98,19 @@ def test_graphql(spark, tmp_path):
     (tmp_path / "b.md").write_text("---\ntype: Note\n---\n[gone](gone.md)\n")
     loaded = bundle.load_bundle(spark, str(tmp_path))
     plain = graphql.ReadAdapter(loaded)
-    out = plain.execute('query Q($n: Int) { concept(id: "a") { id kind: type links { rawTarget exists } ... on Task { cost } } all: concepts(first: $n, offset: 0) { path linkedFrom { sourceId } diagnostics { code } } }', {"n": 2})
+    out = plain.execute('query Q($n: Int) { concept(id: "a") { id kind: type links { rawTarget exists } ... on Task { cost } } all: concepts(first: $n, offset: 0) { path reverseLinks { sourceId targetId } diagnostics { code } } }', {"n": 2})
     assert out["errors"] == [] and out["data"]["concept"] == {"id": "a", "kind": "Task", "links": [{"rawTarget": "b.md", "exists": True}], "cost": "12.50"}
-    assert out["data"]["all"] == [{"path": "a.md", "linkedFrom": [], "diagnostics": []}, {"path": "b.md", "linkedFrom": [{"sourceId": "a"}], "diagnostics": [{"code": "OKF101"}]}]
+    assert out["data"]["all"] == [{"path": "a.md", "reverseLinks": [], "diagnostics": []}, {"path": "b.md", "reverseLinks": [{"sourceId": "a", "targetId": "b"}], "diagnostics": [{"code": "OKF101"}]}]
     relations = typed.TypedRelations(loaded.concepts, {"Task": declare("CREATE TABLE Task (cost DECIMAL(9,2), \"when\" DATE)", "Task")})
     assert graphql.ReadAdapter(loaded, relations).execute('{ concept(id: "a") { cost when } }')["data"]["concept"] == {"cost": "12.50", "when": None}
     assert plain.execute('{ concept(id: "zzz") { id } }') == {"data": {"concept": None}, "errors": []}
     for bad in ("{ concept }", "{ nothing { id } }", "{ concepts(first: 0) { id } }", '{ concept(id: "a") { links { nope } } }'):
         assert plain.execute(bad)["errors"]
+    from quire.plans import contract
+
+    named = graphql.ReadAdapter(loaded, contracts=contract.contracts(loaded.concepts))
+    assert "type TaskConcept implements Concept @okfType(name: \"Task\") {" in named.sdl() and "  cost: String!\n" in named.sdl()
+    assert named.execute('{ concepts { __typename frontmatter ... on TaskConcept { cost } } }')["data"]["concepts"] == [{"__typename": "TaskConcept", "frontmatter": {"type": "Task", "title": "A", "cost": "12.50", "when": "x"}, "cost": "12.50"}, {"__typename": "NoteConcept", "frontmatter": {"type": "Note"}}]
+    assert named.execute('{ concept(id: "b") { cost } }')["errors"]
     assert plain.execute("mutation { x }")["data"] is None and plain.execute("{ a")["data"] is None
     loaded.close()
